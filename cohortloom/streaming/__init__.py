@@ -1,0 +1 @@
+"""Intentionally empty: every input of this workload is a finished export, so nothing streams."""
