@@ -63,8 +63,8 @@ def category_by_wording(question: Column, answer: Column,
 
 def level_rank(value: Column, levels: Sequence[str]) -> Column:
     """Position in the level list starting at 1; NULL when missing or unlisted."""
-    position = F.array_position(F.array(*[F.lit(x) for x in levels]), value)
-    return F.nullif(position, F.lit(0)).cast("int")
+    position = F.array_position(F.array(*[F.lit(x) for x in levels]), value).cast("int")
+    return F.when(value.isin(list(levels)), position)
 
 
 def as_level(value: Column, levels: Sequence[str]) -> Column:

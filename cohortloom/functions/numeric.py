@@ -1,48 +1,28 @@
-"""Two-decimal rounding that looks at the stored binary value, ties to even."""
+"""Percentages and their two-decimal forms."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_HALF_BITS = 30
-_MASK = (1 << _HALF_BITS) - 1
-_ONE = 1 << (2 * _HALF_BITS)
 
-
-def hundredths(value: Column) -> Column:
-    """A non-negative double as a whole number of hundredths.
-
-    ``round`` and ``format_string`` round the shortest decimal text half-up. Here the binary
-    fraction is taken as a 60-bit integer and multiplied by 100 in two 30-bit halves, so
-    nothing is lost and a true tie can be told from a near one.
-    """
-    whole = F.floor(value)
-    fraction = ((value - whole) * F.lit(float(_ONE))).cast("bigint")
-    low = fraction.bitwiseAND(F.lit(_MASK)) * 100
-    high = F.shiftright(fraction, _HALF_BITS) * 100 + F.shiftright(low, _HALF_BITS)
-    kept = F.shiftright(high, _HALF_BITS)
-    rest = F.shiftleft(high.bitwiseAND(F.lit(_MASK)), _HALF_BITS) + low.bitwiseAND(F.lit(_MASK))
-    half = F.lit(_ONE // 2)
-    up = (rest > half) | ((rest == half) & (kept % 2 == 1))
-    return whole * 100 + kept + up.cast("bigint")
+def percent(part: Column, whole: Column) -> Column:
+    """``100 * part / whole`` as a double."""
+    return F.lit(100.0) * part / whole
 
 
 def fixed2(value: Column) -> Column:
-    """Text with exactly two decimals."""
-    h = hundredths(value)
-    return F.concat(F.floor(h / 100).cast("string"), F.lit("."),
-                    F.lpad((h % 100).cast("string"), 2, "0"))
-
+    """Text with exactly two decimals, rounded on the stored binary value, ties to even.
 
-def round2(value: Column) -> Column:
-    """Double rounded to two decimals."""
-    return hundredths(value) / F.lit(100.0)
+    ``format_number`` with a pattern rounds like C's ``printf``; ``format_string`` and
+    ``round`` round the shortest decimal text half-up and differ on many ratios.
+    """
+    return F.call_function("format_number", value, F.lit("0.00"))
 
 
-def percent(part: Column, whole: Column) -> Column:
-    """``100 * part / whole`` as a double; NULL when the whole is zero."""
-    return F.lit(100.0) * part / F.nullif(whole, F.lit(0))
+def round2(value: Column) -> Column:
+    """The same rounding as a double."""
+    return fixed2(value).cast("double")
 
 
 def count_with_percent(count: Column, share: Column) -> Column:

@@ -12,10 +12,17 @@ from cohortloom import vocab
 from cohortloom.operators.sizing import broadcast_if_small
 
 
+def flagged(df: DataFrame, flags: Sequence[str] = tuple(vocab.DATA_FLAGS), key: str = "person_id") -> DataFrame:
+    """Ids of rows with at least one flag set: one scan, instead of a union of one per flag.
+
+    Ids may repeat. That is all a semi or anti join needs, and it saves a shuffle.
+    """
+    return df.filter(reduce(Column.__or__, [F.col(f) == 1 for f in flags])).select(key)
+
+
 def any_flag(df: DataFrame, flags: Sequence[str] = tuple(vocab.DATA_FLAGS), key: str = "person_id") -> DataFrame:
-    """Distinct ids with at least one flag set: one scan, instead of a union of one per flag."""
-    test = reduce(Column.__or__, [F.col(f) == 1 for f in flags])
-    return df.filter(test).select(key).distinct()
+    """The same ids, each once."""
+    return flagged(df, flags, key).distinct()
 
 
 def union_distinct(frames: Sequence[DataFrame]) -> DataFrame:

@@ -10,7 +10,7 @@ MAX_BROADCAST_ROWS = 1_000_000
 
 def planned_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan; costs no job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def planner_would_broadcast(df: DataFrame) -> bool:

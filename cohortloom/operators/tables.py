@@ -20,7 +20,11 @@ def group_distribution(df: DataFrame, key: str, levels: Sequence[str] | None = N
     The missing group is a row of its own and part of the total. In level order, unlisted
     groups last, when levels are given; otherwise largest first.
     """
-    counts = count_by(df, key, name="n_people")
+    return distribution_of(count_by(df, key, name="n_people"), key, levels)
+
+
+def distribution_of(counts: DataFrame, key: str, levels: Sequence[str] | None = None) -> DataFrame:
+    """The same from people already counted in a column ``n_people``."""
     table = counts.withColumn("percent", round2(percent(F.col("n_people"), total_of(counts, "n_people"))))
     if levels is None:
         return table.orderBy(F.desc("n_people"), F.asc(key))

@@ -23,13 +23,13 @@ def question_answers(w: Warehouse, question_id: int) -> DataFrame:
     return survey_scan(w.survey, [question_id], ("person_id", "answer"))
 
 
-def halves(w: Warehouse, vids: Sequence[str]) -> DataFrame:
+def halves(w: Warehouse, ids: DataFrame) -> DataFrame:
     """The cohort with ``half`` = carriers / noncarriers."""
     half = F.when(F.col("carrier") == 1, "carriers").otherwise("noncarriers")
-    return flagged_cohort(w, vids).select("person_id", "race_ethnicity", half.alias("half"))
+    return flagged_cohort(w, ids).select("person_id", "race_ethnicity", half.alias("half"))
 
 
-def answers_by_cohort(w: Warehouse, vids: Sequence[str],
+def answers_by_cohort(w: Warehouse, ids: DataFrame,
                       question_ids: Sequence[int] = tuple(vocab.ALCOHOL_QUESTIONS)) -> DataFrame:
     """Count per cohort, question and answer for four cohorts: each half, whole and one group.
 
@@ -37,7 +37,7 @@ def answers_by_cohort(w: Warehouse, vids: Sequence[str],
     cohorts; that is worked out on the counted rows, not by copying the answers.
     """
     asian = F.col("race_ethnicity") == vocab.RACE_LABELS[vocab.ASIAN_CODE]
-    people = halves(w, vids).select("person_id", "half", asian.alias("in_group"))
+    people = halves(w, ids).select("person_id", "half", asian.alias("in_group"))
     answers = survey_scan(w.survey, question_ids)
     counts = count_by(answers.join(people, "person_id"), "half", "in_group", "question", "answer", name="count")
     half = F.col("half")
@@ -46,9 +46,9 @@ def answers_by_cohort(w: Warehouse, vids: Sequence[str],
                   .groupBy("cohort", "question", "answer").agg(F.sum("count").alias("count")))
 
 
-def cohort_question_tables(w: Warehouse, vids: Sequence[str]) -> DataFrame:
+def cohort_question_tables(w: Warehouse, ids: DataFrame) -> DataFrame:
     """Ordered tables with Total of the frequency and the quantity question, four cohorts each."""
-    counts = answers_by_cohort(w, vids, [vocab.FREQUENCY, vocab.QUANTITY])
+    counts = answers_by_cohort(w, ids, [vocab.FREQUENCY, vocab.QUANTITY])
     kept = counts.filter(not_listed(F.col("answer")))
     return ordered_from_counts(kept, "answer", [*vocab.FREQUENCY_LEVELS, *vocab.QUANTITY_LEVELS],
                                by=["cohort", "question"])
@@ -74,15 +74,15 @@ def single_subgroup(w: Warehouse) -> DataFrame:
     return cohorts.single_row_groups(question_answers(w, vocab.SUBGROUP))
 
 
-def group_members(w: Warehouse, vids: Sequence[str]) -> DataFrame:
+def group_members(w: Warehouse, ids: DataFrame) -> DataFrame:
     """``person_id``, ``half`` of cohort members in the Asian group."""
-    return one_group(halves(w, vids)).select("person_id", "half")
+    return one_group(halves(w, ids)).select("person_id", "half")
 
 
-def subgroup_answers(w: Warehouse, vids: Sequence[str], question_id: int, levels: Sequence[str],
+def subgroup_answers(w: Warehouse, ids: DataFrame, question_id: int, levels: Sequence[str],
                      collapsed: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """``n (p%)`` of one question per subgroup, both halves; levels may be collapsed first."""
-    members = group_members(w, vids)
+    members = group_members(w, ids)
     answers = question_answers(w, question_id).filter(not_listed(F.col("answer"), vocab.REFUSALS_AND_BLANKS))
     theirs = answers.join(members, "person_id")
     both = suffix_join(theirs, single_subgroup(w), ["person_id"])
@@ -92,8 +92,8 @@ def subgroup_answers(w: Warehouse, vids: Sequence[str], question_id: int, levels
                          "subgroup", "answer", levels, by=["half"])
 
 
-def subgroup_distribution(w: Warehouse, vids: Sequence[str]) -> DataFrame:
+def subgroup_distribution(w: Warehouse, ids: DataFrame) -> DataFrame:
     """Count and percent of the single-answer subgroups in each half, largest first."""
-    named = group_members(w, vids).join(single_subgroup(w), "person_id", "left").filter(F.col("answer").isNotNull())
+    named = group_members(w, ids).join(single_subgroup(w), "person_id", "left").filter(F.col("answer").isNotNull())
     return (with_percent(count_by(named, "half", "answer", name="count"), "count", by=["half"])
             .orderBy("half", F.desc("count"), "answer"))

@@ -19,26 +19,24 @@ from cohortloom.sources.warehouse import Warehouse, survey_scan
 ROW = ("person_id", "question_concept_id", "question", "answer")
 
 
-def carrier_data(w: Warehouse, vids: Sequence[str],
+def carrier_data(w: Warehouse, ids: DataFrame,
                  question_ids: Sequence[int]) -> tuple[DataFrame, DataFrame]:
     """Person codes and survey rows of carriers that the availability table knows.
 
     Both are cut down before they are joined: the carrier list is short, the survey is not.
     """
-    ids = cohorts.checked_carriers(w.variants, vids)
     known = cohorts.keep_members(w.availability.select("person_id"), ids)
     people = cohorts.keep_members(w.person.select("person_id", *CODES), ids)
     answers = cohorts.keep_members(survey_scan(w.survey, question_ids, ROW), ids)
     return cohorts.keep_members(people, known), answers
 
 
-def noncarrier_data(w: Warehouse, vids: Sequence[str],
+def noncarrier_data(w: Warehouse, ids: DataFrame,
                     question_ids: Sequence[int]) -> tuple[DataFrame, DataFrame]:
     """Person codes and survey rows of everyone else (``NOT IN``).
 
     The list is only taken out of the person side; the reports join the two on the person.
     """
-    ids = cohorts.checked_carriers(w.variants, vids)
     people = cohorts.not_in(w.person.select("person_id", *CODES), ids)
     return people, survey_scan(w.survey, question_ids, ROW)
 
@@ -73,17 +71,17 @@ def subgroup_categories(people: DataFrame, answers: DataFrame, clean: bool) -> D
             .join(categories, "person_id"))
 
 
-def race_crosstab(w: Warehouse, vids: Sequence[str], with_variant: bool = True) -> DataFrame:
+def race_crosstab(w: Warehouse, ids: DataFrame, with_variant: bool = True) -> DataFrame:
     """Category x race with totals, in report order. The label list is closed, so it is given."""
     load = carrier_data if with_variant else noncarrier_data
-    counted = crosstab.cells(race_categories(*load(w, vids, vocab.ALCOHOL_QUESTIONS)))
+    counted = crosstab.cells(race_categories(*load(w, ids, vocab.ALCOHOL_QUESTIONS)))
     return crosstab.with_totals(counted, vocab.ALL_RACES, order=vocab.CATEGORY_ORDER)
 
 
-def subgroup_crosstab(w: Warehouse, vids: Sequence[str], with_variant: bool = True) -> DataFrame:
+def subgroup_crosstab(w: Warehouse, ids: DataFrame, with_variant: bool = True) -> DataFrame:
     """Category x subgroup with totals, in report order. Subgroup labels are looked up."""
     load = carrier_data if with_variant else noncarrier_data
-    rows = subgroup_categories(*load(w, vids, vocab.COHORT_QUESTIONS), clean=with_variant)
+    rows = subgroup_categories(*load(w, ids, vocab.COHORT_QUESTIONS), clean=with_variant)
     order = vocab.CLEAN_CATEGORY_ORDER if with_variant else vocab.CATEGORY_ORDER
     return crosstab.with_totals(crosstab.cells(rows), order=order)
 
@@ -113,12 +111,12 @@ def regression_rows(rows: DataFrame) -> DataFrame:
                     .filter(F.col("drinking_frequency").isNotNull()))
 
 
-def regression_counts(w: Warehouse, vids: Sequence[str]) -> DataFrame:
+def regression_counts(w: Warehouse, ids: DataFrame) -> DataFrame:
     """Group x outcome counts of the regression of drinking frequency on subgroup."""
-    rows = subgroup_categories(*carrier_data(w, vids, vocab.COHORT_QUESTIONS), clean=True)
+    rows = subgroup_categories(*carrier_data(w, ids, vocab.COHORT_QUESTIONS), clean=True)
     return multinomial.outcome_counts(regression_rows(rows), "race_ethnicity", "drinking_frequency", "n")
 
 
-def regression(w: Warehouse, vids: Sequence[str]) -> DataFrame:
+def regression(w: Warehouse, ids: DataFrame) -> DataFrame:
     """Coefficients with p-values against the largest subgroup and the non-drinkers."""
-    return multinomial.with_p_values(multinomial.fit(regression_counts(w, vids), vocab.NONDRINKER))
+    return multinomial.with_p_values(multinomial.fit(regression_counts(w, ids), vocab.NONDRINKER))

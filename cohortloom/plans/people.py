@@ -1,4 +1,8 @@
-"""Cohort extraction, carrier split, and age, sex and race distributions."""
+"""Cohort extraction, carrier split, and age, sex and race distributions.
+
+``ids`` is a frame of carrier ids. Make it once with ``cohorts.checked_carriers`` and pass it to
+every report: its size is then counted once.
+"""
 
 from __future__ import annotations
 
@@ -12,16 +16,18 @@ from cohortloom.functions.dates import AsOf, completed_years
 from cohortloom.functions.labels import band, keep_or_other, race_label
 from cohortloom.operators import checks, cohorts
 from cohortloom.operators.counts import count_by, distinct_by
-from cohortloom.operators.joins import merge_counts
-from cohortloom.operators.tables import group_distribution
+from cohortloom.operators.joins import lookup_names, merge_counts
+from cohortloom.operators.tables import distribution_of, group_distribution
 from cohortloom.sources.warehouse import ROLES, Warehouse, demographics
 
 CODES = ["race_concept_id", "ethnicity_concept_id"]
+# Person columns the age and sex tables need; carried along, they save a second join to person.
+BORN, SEX = "birth_datetime", "sex_at_birth_concept_id"
 
 
 def cohort_extract(w: Warehouse, flags: Sequence[str] = tuple(vocab.DATA_FLAGS)) -> DataFrame:
     """People with any data flag, their codes, birth date and names of the three roles."""
-    people = cohorts.keep_members(w.person, cohorts.any_flag(w.availability, flags))
+    people = cohorts.keep_members(w.person, cohorts.flagged(w.availability, flags))
     return demographics(people, w.concept, list(ROLES), CODES)
 
 
@@ -31,10 +37,18 @@ def with_race(people: DataFrame) -> DataFrame:
                   .drop(*CODES))
 
 
-def initial_cohort(w: Warehouse) -> DataFrame:
+def initial_cohort(w: Warehouse, keep: Sequence[str] = ()) -> DataFrame:
     """``person_id``, ``race_ethnicity``: people with any data flag, dead or alive."""
-    people = w.person.select("person_id", *CODES)
-    return with_race(cohorts.keep_members(people, cohorts.any_flag(w.availability)))
+    people = w.person.select("person_id", *CODES, *keep)
+    return with_race(cohorts.keep_members(people, cohorts.flagged(w.availability)))
+
+
+def cohort(w: Warehouse, keep: Sequence[str] = ()) -> DataFrame:
+    """The same without people who have a death record.
+
+    Three person-level tables joined on one key, so each is shuffled at most once.
+    """
+    return cohorts.drop_members(initial_cohort(w, keep), w.deaths.select("person_id"))
 
 
 def race_counts(w: Warehouse) -> DataFrame:
@@ -45,46 +59,37 @@ def race_counts(w: Warehouse) -> DataFrame:
 
 def death_overlap(w: Warehouse) -> DataFrame:
     """Ids of cohort members with a death record."""
-    return cohorts.ids_in_both(cohorts.any_flag(w.availability), w.deaths)
-
-
-def cohort(w: Warehouse) -> DataFrame:
-    """``person_id``, ``race_ethnicity``: people with any data flag and no death record.
-
-    Three person-level tables joined on one key, so each is shuffled at most once.
-    """
-    return cohorts.drop_members(initial_cohort(w), w.deaths.select("person_id"))
+    return cohorts.ids_in_both(cohorts.flagged(w.availability), w.deaths)
 
 
 def genotyped(people: DataFrame, w: Warehouse) -> DataFrame:
     """Add ``gene`` = 1 for people with any data flag, else 0."""
-    return cohorts.membership_flag(people, cohorts.any_flag(w.availability), "gene")
+    return cohorts.membership_flag(people, cohorts.flagged(w.availability), "gene")
 
 
-def carrier_people(w: Warehouse, vids: Sequence[str]) -> DataFrame:
+def carrier_people(w: Warehouse, ids: DataFrame) -> DataFrame:
     """Ids of carriers known to the availability table, dead or alive."""
-    known = w.availability.select("person_id")
-    return cohorts.keep_members(known, cohorts.checked_carriers(w.variants, vids)).distinct()
+    return cohorts.keep_members(w.availability.select("person_id"), ids).distinct()
 
 
-def carrier_cohort(w: Warehouse, vids: Sequence[str]) -> DataFrame:
+def carrier_cohort(w: Warehouse, ids: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Cohort members who carry the variant."""
-    return cohorts.keep_members(cohort(w), cohorts.checked_carriers(w.variants, vids))
+    return cohorts.keep_members(cohort(w, keep), ids)
 
 
-def noncarrier_cohort(w: Warehouse, vids: Sequence[str]) -> DataFrame:
+def noncarrier_cohort(w: Warehouse, ids: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Cohort members who do not. A dead carrier is in neither half."""
-    return cohorts.drop_members(cohort(w), cohorts.checked_carriers(w.variants, vids))
+    return cohorts.drop_members(cohort(w, keep), ids)
 
 
-def flagged_cohort(w: Warehouse, vids: Sequence[str], flag: str = "carrier") -> DataFrame:
+def flagged_cohort(w: Warehouse, ids: DataFrame, flag: str = "carrier") -> DataFrame:
     """The cohort with a 0/1 carrier column: both halves in one pass."""
-    return cohorts.membership_flag(cohort(w), cohorts.checked_carriers(w.variants, vids), flag)
+    return cohorts.membership_flag(cohort(w), ids, flag)
 
 
-def missing_carriers(w: Warehouse, vids: Sequence[str]) -> DataFrame:
+def missing_carriers(w: Warehouse, ids: DataFrame) -> DataFrame:
     """Carriers that are not cohort members."""
-    return cohorts.ids_missing(carrier_people(w, vids), cohort(w))
+    return cohorts.ids_missing(carrier_people(w, ids), cohort(w))
 
 
 def with_demographics(people: DataFrame, w: Warehouse) -> DataFrame:
@@ -96,25 +101,26 @@ def with_demographics(people: DataFrame, w: Warehouse) -> DataFrame:
     return people.join(demographics(wanted, w.concept), "person_id", "left")
 
 
-def with_age(people: DataFrame, as_of: AsOf) -> DataFrame:
+def with_age(people: DataFrame, as_of: AsOf, born: str = BORN) -> DataFrame:
     """Add ``age`` and ``age_group``."""
-    return (people.withColumn("age", completed_years(F.col("date_of_birth"), as_of))
+    return (people.withColumn("age", completed_years(F.col(born), as_of))
                   .withColumn("age_group", band(F.col("age"))))
 
 
-def age_distribution(people: DataFrame, w: Warehouse, as_of: AsOf) -> DataFrame:
-    """People and percent per age band, in band order."""
-    born = w.person.select("person_id", F.col("birth_datetime").alias("date_of_birth"))
-    return group_distribution(with_age(people.join(born, "person_id", "left"), as_of),
-                              "age_group", vocab.AGE_LEVELS)
+def age_distribution(people: DataFrame, as_of: AsOf) -> DataFrame:
+    """People and percent per age band, in band order; ``people`` carries ``BORN``."""
+    return group_distribution(with_age(people, as_of), "age_group", vocab.AGE_LEVELS)
 
 
 def sex_distribution(people: DataFrame, w: Warehouse) -> DataFrame:
-    """People and percent per sex at birth, everything unlisted as Other, largest first."""
-    named = demographics(cohorts.keep_members(w.person, people.select("person_id")), w.concept, ["sex_at_birth"])
-    joined = people.join(named.drop("date_of_birth"), "person_id", "left")
-    return group_distribution(
-        joined.withColumn("sex_at_birth", keep_or_other(F.col("sex_at_birth"))), "sex_at_birth")
+    """People and percent per sex at birth, unlisted ones as Other, largest first.
+
+    ``people`` carries ``SEX``. Counted per code, so the lookup joins a handful of rows.
+    """
+    per_code = count_by(people, SEX, name="n_people")
+    named = lookup_names(per_code, w.concept, {"sex_at_birth": SEX}, "concept_id", "concept_name", spread_by=SEX)
+    label = keep_or_other(F.col("sex_at_birth")).alias("sex_at_birth")
+    return distribution_of(named.groupBy(label).agg(F.sum("n_people").alias("n_people")), "sex_at_birth")
 
 
 def one_group(people: DataFrame, label: str = vocab.RACE_LABELS[vocab.ASIAN_CODE]) -> DataFrame:
@@ -122,32 +128,33 @@ def one_group(people: DataFrame, label: str = vocab.RACE_LABELS[vocab.ASIAN_CODE
     return people.filter(F.col("race_ethnicity") == label)
 
 
-def age_range_count(people: DataFrame, w: Warehouse, as_of: AsOf, low: int, high: int) -> DataFrame:
-    """How many people are between two ages, both included."""
-    born = w.person.select("person_id", F.col("birth_datetime").alias("date_of_birth"))
-    aged = with_age(people.join(born, "person_id", "left"), as_of)
+def age_range_count(people: DataFrame, as_of: AsOf, low: int, high: int) -> DataFrame:
+    """How many people are between two ages, both included; ``people`` carries ``BORN``."""
+    aged = with_age(people, as_of)
     return aged.filter(F.col("age").between(low, high)).agg(F.count(F.lit(1)).alias(f"n_{low}_{high}"))
 
 
-def race_breakdown(w: Warehouse, vids: Sequence[str]) -> DataFrame:
+def race_breakdown(w: Warehouse, ids: DataFrame) -> DataFrame:
     """Carriers and non-carriers per group side by side; a group without any has NULL."""
-    counts = count_by(flagged_cohort(w, vids), "carrier", "race_ethnicity")
+    counts = count_by(flagged_cohort(w, ids), "carrier", "race_ethnicity")
     half = lambda flag, name: (counts.filter(F.col("carrier") == flag)
                                .select("race_ethnicity", F.col("n").alias(name)))
     return merge_counts(half(1, "with_variant"), half(0, "without_variant"), "race_ethnicity")
 
 
-def reconciliation(w: Warehouse, vids: Sequence[str], as_of: AsOf) -> DataFrame:
+def reconciliation(w: Warehouse, ids: DataFrame, as_of: AsOf) -> DataFrame:
     """Do the separately computed halves and tables add up to the cohort?"""
-    everyone, yes, no = cohort(w), carrier_cohort(w, vids), noncarrier_cohort(w, vids)
+    keep = [BORN, SEX]
+    everyone, yes, no = cohort(w, keep), carrier_cohort(w, ids, keep), noncarrier_cohort(w, ids, keep)
     rows, people = checks.row_total, lambda table: checks.sum_total(table, "n_people")
     return checks.reconcile([
         ("carriers + non-carriers = cohort", [rows(yes), rows(no)], [rows(everyone)]),
-        ("carriers - missing = carriers in cohort", [rows(carrier_people(w, vids))],
-         [rows(yes), rows(missing_carriers(w, vids))]),
-        ("age table = carriers", [people(age_distribution(yes, w, as_of))], [rows(yes)]),
+        ("carriers - missing = carriers in cohort", [rows(carrier_people(w, ids))],
+         [rows(yes), rows(missing_carriers(w, ids))]),
+        ("age table = carriers", [people(age_distribution(yes, as_of))], [rows(yes)]),
         ("sex table = carriers", [people(sex_distribution(yes, w))], [rows(yes)]),
-        ("age table = non-carriers", [people(age_distribution(no, w, as_of))], [rows(no)]),
+        ("age table = non-carriers", [people(age_distribution(no, as_of))], [rows(no)]),
         ("sex table = non-carriers", [people(sex_distribution(no, w))], [rows(no)]),
-        ("one group, both halves = group", [rows(one_group(yes)), rows(one_group(no))], [rows(one_group(everyone))]),
+        ("one group, both halves = group", [rows(one_group(yes)), rows(one_group(no))],
+         [rows(one_group(everyone))]),
     ])

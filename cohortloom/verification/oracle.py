@@ -234,7 +234,7 @@ FROM (
   SELECT {by}, {group}, pos, answer, count(*) AS count,
     100.0::DOUBLE * count(*) / CAST(sum(count(*)) OVER (PARTITION BY {by}, {group}) AS DOUBLE) AS percent
   FROM (SELECT s.{by}, s.{group}, o.pos, o.answer FROM ({source}) s LEFT JOIN ({order}) o ON s.answer = o.answer) x
-  GROUP BY ALL) t"""
+  GROUP BY {by}, {group}, pos, answer) t"""
 
 
 _SUBGROUP_SOURCE = """
@@ -265,7 +265,7 @@ _OTHER_SUB = """SELECT race_ethnicity, prefix || coalesce(answer, 'NA') AS categ
 # Simpson's rule on the normal density from 0 to |z|; 2000 steps are exact to about 1e-12 here.
 _PVALUES = """
 SELECT outcome, term, round(1.0 - 2.0 * (h / 3.0) * list_sum(list_transform(generate_series(0, 2000),
-    i -> CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-(i * h) * (i * h) / 2.0)))
+    lambda i: CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-(i * h) * (i * h) / 2.0)))
     / sqrt(2.0 * pi()), 9) AS p_value
 FROM (SELECT outcome, term, abs(estimate / std_error) / 2000.0 AS h FROM terms) t"""
 

@@ -38,6 +38,10 @@ def long_wording(fn):
     return fn
 
 
+def _ids(w: SampleWarehouse) -> DataFrame:
+    return cohorts.checked_carriers(w.variants, VIDS)
+
+
 def _dob_text(df: DataFrame) -> DataFrame:
     return df.withColumn("date_of_birth", F.col("date_of_birth").cast("string"))
 
@@ -171,22 +175,22 @@ def genotyped_people(w):
 
 @query
 def cohort_semi_join(w):
-    return people.carrier_cohort(w, VIDS)
+    return people.carrier_cohort(w, _ids(w))
 
 
 @query
 def cohort_anti_join(w):
-    return people.noncarrier_cohort(w, VIDS)
+    return people.noncarrier_cohort(w, _ids(w))
 
 
 @query
 def anti_via_left(w):
-    return cohorts.drop_members_via_left(people.cohort(w), cohorts.checked_carriers(w.variants, VIDS))
+    return cohorts.drop_members_via_left(people.cohort(w), _ids(w))
 
 
 @query
 def not_in_scan(w):
-    return cohorts.not_in(w.person.select("person_id"), cohorts.checked_carriers(w.variants, VIDS))
+    return cohorts.not_in(w.person.select("person_id"), _ids(w))
 
 
 @query
@@ -202,7 +206,7 @@ def not_in_null_aware(w):
 
 @query
 def membership_flag(w):
-    return cohorts.membership_flag(w.person.select("person_id"), cohorts.checked_carriers(w.variants, VIDS), "gene")
+    return cohorts.membership_flag(w.person.select("person_id"), _ids(w), "gene")
 
 
 @query
@@ -212,7 +216,7 @@ def ids_in_both(w):
 
 @query
 def ids_missing(w):
-    return people.missing_carriers(w, VIDS)
+    return people.missing_carriers(w, _ids(w))
 
 
 @query
@@ -238,24 +242,24 @@ def answers_by_group(w):
 
 @query
 def cohort_with_demographics(w):
-    return _dob_text(people.with_age(people.with_demographics(people.carrier_cohort(w, VIDS), w), AS_OF))
+    return _dob_text(people.with_age(people.with_demographics(people.carrier_cohort(w, _ids(w)), w), AS_OF, "date_of_birth"))
 
 
 @query
 def breakdown_full_join(w):
-    return people.race_breakdown(w, VIDS)
+    return people.race_breakdown(w, _ids(w))
 
 
 @query
 def multi_select_lookup(w):
-    return crosstabs.subgroup_lookup(*crosstabs.carrier_data(w, VIDS, vocab.COHORT_QUESTIONS))
+    return crosstabs.subgroup_lookup(*crosstabs.carrier_data(w, _ids(w), vocab.COHORT_QUESTIONS))
 
 
 @query
 def stack_by_name(w):
     return counts.stack_by_name([
         w.deaths.select("person_id", "death_date"),
-        people.carrier_cohort(w, VIDS)])
+        people.carrier_cohort(w, _ids(w))])
 
 
 # --- counts ---
@@ -321,54 +325,54 @@ def head_rows(w):
 
 @query
 def reconcile_counts(w):
-    return people.reconciliation(w, VIDS, AS_OF)
+    return people.reconciliation(w, _ids(w), AS_OF)
 
 
 # --- age, sex and race ---
 
 @query
 def age_distribution(w):
-    return people.age_distribution(people.carrier_cohort(w, VIDS), w, AS_OF)
+    return people.age_distribution(people.carrier_cohort(w, _ids(w), [people.BORN]), AS_OF)
 
 
 @query
 def age_distribution_noncarriers(w):
-    return people.age_distribution(people.noncarrier_cohort(w, VIDS), w, AS_OF)
+    return people.age_distribution(people.noncarrier_cohort(w, _ids(w), [people.BORN]), AS_OF)
 
 
 @query
 def sex_distribution(w):
-    return people.sex_distribution(people.carrier_cohort(w, VIDS), w)
+    return people.sex_distribution(people.carrier_cohort(w, _ids(w), [people.SEX]), w)
 
 
 @query
 def sex_distribution_noncarriers(w):
-    return people.sex_distribution(people.noncarrier_cohort(w, VIDS), w)
+    return people.sex_distribution(people.noncarrier_cohort(w, _ids(w), [people.SEX]), w)
 
 
 @query
 def group_age_distribution(w):
-    return people.age_distribution(people.one_group(people.carrier_cohort(w, VIDS)), w, AS_OF)
+    return people.age_distribution(people.one_group(people.carrier_cohort(w, _ids(w), [people.BORN])), AS_OF)
 
 
 @query
 def group_sex_distribution(w):
-    return people.sex_distribution(people.one_group(people.carrier_cohort(w, VIDS)), w)
+    return people.sex_distribution(people.one_group(people.carrier_cohort(w, _ids(w), [people.SEX])), w)
 
 
 @query
 def group_age_distribution_noncarriers(w):
-    return people.age_distribution(people.one_group(people.noncarrier_cohort(w, VIDS)), w, AS_OF)
+    return people.age_distribution(people.one_group(people.noncarrier_cohort(w, _ids(w), [people.BORN])), AS_OF)
 
 
 @query
 def group_sex_distribution_noncarriers(w):
-    return people.sex_distribution(people.one_group(people.noncarrier_cohort(w, VIDS)), w)
+    return people.sex_distribution(people.one_group(people.noncarrier_cohort(w, _ids(w), [people.SEX])), w)
 
 
 @query
 def age_range_count(w):
-    return people.age_range_count(people.noncarrier_cohort(w, VIDS), w, AS_OF, 18, 21)
+    return people.age_range_count(people.noncarrier_cohort(w, _ids(w), [people.BORN]), AS_OF, 18, 21)
 
 
 # --- answer tables ---
@@ -385,12 +389,12 @@ def plain_table_total(w):
 
 @query
 def answers_by_cohort(w):
-    return answers.answers_by_cohort(w, VIDS)
+    return answers.answers_by_cohort(w, _ids(w))
 
 
 @query
 def question_tables_by_cohort(w):
-    return answers.cohort_question_tables(w, VIDS)
+    return answers.cohort_question_tables(w, _ids(w))
 
 
 @query
@@ -400,33 +404,33 @@ def stratified_np(w):
 
 @query
 def stratified_np_wide(w):
-    table = answers.subgroup_answers(w, VIDS, vocab.FREQUENCY, vocab.FREQUENCY_LEVELS)
+    table = answers.subgroup_answers(w, _ids(w), vocab.FREQUENCY, vocab.FREQUENCY_LEVELS)
     return tables.stratified_np_wide(table, "subgroup", "answer", vocab.SUBGROUPS, by=["half"])
 
 
 @query
 def subgroup_frequency(w):
-    return answers.subgroup_answers(w, VIDS, vocab.FREQUENCY, vocab.FREQUENCY_LEVELS)
+    return answers.subgroup_answers(w, _ids(w), vocab.FREQUENCY, vocab.FREQUENCY_LEVELS)
 
 
 @query
 def subgroup_quantity(w):
-    return answers.subgroup_answers(w, VIDS, vocab.QUANTITY, vocab.COLLAPSED_LEVELS, vocab.COLLAPSE_QUANTITY)
+    return answers.subgroup_answers(w, _ids(w), vocab.QUANTITY, vocab.COLLAPSED_LEVELS, vocab.COLLAPSE_QUANTITY)
 
 
 @query
 def subgroup_distribution(w):
-    return answers.subgroup_distribution(w, VIDS)
+    return answers.subgroup_distribution(w, _ids(w))
 
 
 # --- crosstabs ---
 
 def _race_cells(w):
-    return crosstab.cells(crosstabs.race_categories(*crosstabs.carrier_data(w, VIDS, vocab.ALCOHOL_QUESTIONS)))
+    return crosstab.cells(crosstabs.race_categories(*crosstabs.carrier_data(w, _ids(w), vocab.ALCOHOL_QUESTIONS)))
 
 
 def _subgroup_rows(w, clean: bool = True):
-    return crosstabs.subgroup_categories(*crosstabs.carrier_data(w, VIDS, vocab.COHORT_QUESTIONS), clean=clean)
+    return crosstabs.subgroup_categories(*crosstabs.carrier_data(w, _ids(w), vocab.COHORT_QUESTIONS), clean=clean)
 
 
 @long_wording
@@ -441,28 +445,28 @@ def fanout_crosstab(w):
 
 @long_wording
 def crosstab_totals(w):
-    return crosstabs.race_crosstab(w, VIDS)
+    return crosstabs.race_crosstab(w, _ids(w))
 
 
 @long_wording
 def crosstab_totals_noncarriers(w):
-    return crosstabs.race_crosstab(w, VIDS, with_variant=False)
+    return crosstabs.race_crosstab(w, _ids(w), with_variant=False)
 
 
 @query
 def ordered_crosstab(w):
-    return crosstabs.subgroup_crosstab(w, VIDS)
+    return crosstabs.subgroup_crosstab(w, _ids(w))
 
 
 @query
 def ordered_crosstab_noncarriers(w):
-    return crosstabs.subgroup_crosstab(w, VIDS, with_variant=False)
+    return crosstabs.subgroup_crosstab(w, _ids(w), with_variant=False)
 
 
 @long_wording
 def crosstab_report(w):
     """Write the crosstab as a report file, then read the file back."""
-    path = csv_shards.write_report(crosstabs.race_crosstab(w, VIDS), scratch_path(w.spark, "report"))
+    path = csv_shards.write_report(crosstabs.race_crosstab(w, _ids(w)), scratch_path(w.spark, "report"))
     labels = [*vocab.ALL_RACES, vocab.TOTAL_COLUMN]
     columns = ", ".join(f"`{c}` BIGINT" for c in labels)
     return csv_shards.read_csv_shards(w.spark, path, f"row_number INT, category STRING, {columns}")
@@ -500,15 +504,15 @@ def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
 
 @query
 def multinomial_fit(w):
-    fitted = multinomial.fit(crosstabs.regression_counts(w, VIDS), vocab.NONDRINKER)
+    fitted = multinomial.fit(crosstabs.regression_counts(w, _ids(w)), vocab.NONDRINKER)
     return _rounded(fitted, 9, "estimate", "std_error", "risk_ratio", "z")
 
 
 @query
 def multinomial_deviance(w):
-    return _rounded(multinomial.deviance(crosstabs.regression_counts(w, VIDS)), 6, "deviance", "aic")
+    return _rounded(multinomial.deviance(crosstabs.regression_counts(w, _ids(w))), 6, "deviance", "aic")
 
 
 @query
 def multinomial_pvalues(w):
-    return _rounded(crosstabs.regression(w, VIDS), 9, "p_value").select("outcome", "term", "p_value")
+    return _rounded(crosstabs.regression(w, _ids(w)), 9, "p_value").select("outcome", "term", "p_value")
