@@ -11,9 +11,22 @@ from pyspark.sql import functions as F
 from cohortloom.functions.numeric import percent
 
 
-def count_by(df: DataFrame, *keys: str, name: str = "n") -> DataFrame:
-    """Rows per key combination; NULL is a key of its own."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+def count_by(df: DataFrame, *keys: str, name: str = "n", weight: str | None = None) -> DataFrame:
+    """Rows per key combination, or the sum of a weight; NULL is a key of its own."""
+    n = F.sum(weight) if weight else F.count(F.lit(1))
+    return df.groupBy(*keys).agg(n.alias(name))
+
+
+def count_joined(rows: DataFrame, people: DataFrame, row_keys: Sequence[str], people_keys: Sequence[str],
+                 key: str = "person_id", name: str = "count") -> DataFrame:
+    """Rows of ``rows`` joined to ``people``, counted per (people_keys, row_keys).
+
+    ``rows`` is first counted per key: with map-side combining a key that holds a third of the
+    rows reaches the join as one row per distinct answer, on one side of the join or both.
+    """
+    per_key = count_by(rows, key, *row_keys, name="__n")
+    joined = per_key.join(people.select(key, *people_keys), key)
+    return count_by(joined, *people_keys, *row_keys, name=name, weight="__n")
 
 
 def frequency(df: DataFrame, *keys: str, name: str = "n") -> DataFrame:

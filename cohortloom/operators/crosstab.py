@@ -16,9 +16,10 @@ from cohortloom.session import shared_folder
 _LAST = 2_147_483_647
 
 
-def cells(df: DataFrame, category: str = "category", group: str = "race_ethnicity") -> DataFrame:
+def cells(df: DataFrame, category: str = "category", group: str = "race_ethnicity",
+          weight: str | None = None) -> DataFrame:
     """Rows per (category, group): everything after this works on table-sized data."""
-    return count_by(df, category, group, name="count")
+    return count_by(df, category, group, name="count", weight=weight)
 
 
 def with_group_columns(counted: DataFrame, group: str,

@@ -11,7 +11,7 @@ _CHUNK = 1 << 16
 
 
 def widen_lists(df: DataFrame, ids: Sequence[str], names_from: str, values_from: str,
-                names: Sequence[int | str]) -> DataFrame:
+                names: Sequence[int | str], weight: str | None = None) -> DataFrame:
     """Long to wide with several values per cell, unnested in parallel; ``n`` = row multiplicity.
 
     A single value is recycled along the longest list of its row, a missing cell is NULL, and
@@ -22,7 +22,8 @@ def widen_lists(df: DataFrame, ids: Sequence[str], names_from: str, values_from:
     taken in sort order, missing values first.
     """
     runs = (df.filter(F.col(names_from).isin(list(names)))
-              .groupBy(*ids, names_from, values_from).agg(F.count(F.lit(1)).alias("__n"))
+              .groupBy(*ids, names_from, values_from)
+              .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("__n"))
               .repartition(*ids))  # one exchange serves the windows and the aggregate below
     in_cell = Window.partitionBy(*ids, names_from)
     in_row = Window.partitionBy(*ids)

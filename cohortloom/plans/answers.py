@@ -1,4 +1,8 @@
-"""Answer tables by cohort, race group and subgroup."""
+"""Answer tables by cohort, race group and subgroup.
+
+A person may have any number of survey rows, so answers are counted per person before they meet
+the cohort (``count_joined``), and the one-row-per-person frames are joined among themselves.
+"""
 
 from __future__ import annotations
 
@@ -11,8 +15,7 @@ from cohortloom import vocab
 from cohortloom.functions.labels import collapse
 from cohortloom.functions.predicates import is_answered, not_listed
 from cohortloom.operators import cohorts
-from cohortloom.operators.counts import count_by, with_percent
-from cohortloom.operators.joins import suffix_join
+from cohortloom.operators.counts import count_by, count_joined, with_percent
 from cohortloom.operators.tables import ordered_from_counts, stratified_np
 from cohortloom.plans.people import flagged_cohort, initial_cohort, one_group
 from cohortloom.sources.warehouse import Warehouse, survey_scan
@@ -38,12 +41,11 @@ def answers_by_cohort(w: Warehouse, ids: DataFrame,
     """
     asian = F.col("race_ethnicity") == vocab.RACE_LABELS[vocab.ASIAN_CODE]
     people = halves(w, ids).select("person_id", "half", asian.alias("in_group"))
-    answers = survey_scan(w.survey, question_ids)
-    counts = count_by(answers.join(people, "person_id"), "half", "in_group", "question", "answer", name="count")
+    counts = count_joined(survey_scan(w.survey, question_ids), people, ["question", "answer"], ["half", "in_group"])
     half = F.col("half")
     cohorts_of = F.when(F.col("in_group"), F.array(half, F.concat(half, F.lit(" (Asian)")))).otherwise(F.array(half))
-    return (counts.withColumn("cohort", F.explode(cohorts_of))
-                  .groupBy("cohort", "question", "answer").agg(F.sum("count").alias("count")))
+    return count_by(counts.withColumn("cohort", F.explode(cohorts_of)), "cohort", "question", "answer",
+                    name="count", weight="count")
 
 
 def cohort_question_tables(w: Warehouse, ids: DataFrame) -> DataFrame:
@@ -56,17 +58,13 @@ def cohort_question_tables(w: Warehouse, ids: DataFrame) -> DataFrame:
 
 def race_group_answers(w: Warehouse, levels: Mapping[int, Sequence[str]],
                        groups: Sequence[str] = tuple(vocab.REPORTED_RACES)) -> DataFrame:
-    """``n (p%)`` of each listed question per race group.
-
-    The cohort is left-joined to the answers, then people without one are dropped; the planner
-    sees that and runs an inner join.
-    """
+    """``n (p%)`` of each listed question per race group, of people who answered it."""
     answers = survey_scan(w.survey, list(levels), ("person_id", "question_concept_id", "answer"))
+    kept = answers.filter(not_listed(F.col("answer"), vocab.REFUSALS_AND_BLANKS) & is_answered(F.col("answer")))
     people = initial_cohort(w).filter(F.col("race_ethnicity").isin(list(groups)))
-    kept = answers.filter(not_listed(F.col("answer"), vocab.REFUSALS_AND_BLANKS))
-    joined = people.join(kept, "person_id", "left").filter(is_answered(F.col("answer")))
+    counts = count_joined(kept, people, ["question_concept_id", "answer"], ["race_ethnicity"])
     order = [level for listed in levels.values() for level in listed]
-    return stratified_np(joined, "race_ethnicity", "answer", order, by=["question_concept_id"])
+    return stratified_np(counts, "race_ethnicity", "answer", order, by=["question_concept_id"], weight="count")
 
 
 def single_subgroup(w: Warehouse) -> DataFrame:
@@ -74,26 +72,26 @@ def single_subgroup(w: Warehouse) -> DataFrame:
     return cohorts.single_row_groups(question_answers(w, vocab.SUBGROUP))
 
 
-def group_members(w: Warehouse, ids: DataFrame) -> DataFrame:
-    """``person_id``, ``half`` of cohort members in the Asian group."""
-    return one_group(halves(w, ids)).select("person_id", "half")
+def subgroup_members(w: Warehouse, ids: DataFrame) -> DataFrame:
+    """``person_id``, ``half``, ``subgroup`` of group members who named exactly one subgroup."""
+    members = one_group(halves(w, ids)).select("person_id", "half")
+    named = single_subgroup(w).withColumnRenamed("answer", "subgroup")
+    return members.join(named, "person_id", "left").filter(F.col("subgroup").isNotNull())
 
 
 def subgroup_answers(w: Warehouse, ids: DataFrame, question_id: int, levels: Sequence[str],
                      collapsed: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """``n (p%)`` of one question per subgroup, both halves; levels may be collapsed first."""
-    members = group_members(w, ids)
-    answers = question_answers(w, question_id).filter(not_listed(F.col("answer"), vocab.REFUSALS_AND_BLANKS))
-    theirs = answers.join(members, "person_id")
-    both = suffix_join(theirs, single_subgroup(w), ["person_id"])
-    both = both.filter(F.col("`answer.x`").isNotNull() & F.col("`answer.y`").isNotNull())
-    answer = F.col("`answer.x`") if collapsed is None else collapse(F.col("`answer.x`"), collapsed)
-    return stratified_np(both.select("half", F.col("`answer.y`").alias("subgroup"), answer.alias("answer")),
-                         "subgroup", "answer", levels, by=["half"])
+    answer = F.col("answer")
+    kept = question_answers(w, question_id).filter(
+        not_listed(answer, vocab.REFUSALS_AND_BLANKS) & answer.isNotNull())
+    if collapsed is not None:
+        kept = kept.withColumn("answer", collapse(answer, collapsed))
+    counts = count_joined(kept, subgroup_members(w, ids), ["answer"], ["half", "subgroup"])
+    return stratified_np(counts, "subgroup", "answer", levels, by=["half"], weight="count")
 
 
 def subgroup_distribution(w: Warehouse, ids: DataFrame) -> DataFrame:
     """Count and percent of the single-answer subgroups in each half, largest first."""
-    named = group_members(w, ids).join(single_subgroup(w), "person_id", "left").filter(F.col("answer").isNotNull())
-    return (with_percent(count_by(named, "half", "answer", name="count"), "count", by=["half"])
-            .orderBy("half", F.desc("count"), "answer"))
+    counts = count_by(subgroup_members(w, ids), "half", F.col("subgroup").alias("answer"), name="count")
+    return with_percent(counts, "count", by=["half"]).orderBy("half", F.desc("count"), "answer")

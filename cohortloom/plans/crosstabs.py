@@ -12,8 +12,9 @@ from cohortloom.functions.labels import category_by_id, category_by_wording, dri
 from cohortloom.functions.predicates import is_valid_answer, matches
 from cohortloom.functions.text import remove_all, replace_first
 from cohortloom.operators import cohorts, crosstab, multinomial
+from cohortloom.operators.counts import count_by, count_joined
 from cohortloom.operators.reshape import widen_lists
-from cohortloom.plans.people import CODES
+from cohortloom.plans.people import CODES, with_race
 from cohortloom.sources.warehouse import Warehouse, survey_scan
 
 ROW = ("person_id", "question_concept_id", "question", "answer")
@@ -41,58 +42,75 @@ def noncarrier_data(w: Warehouse, ids: DataFrame,
     return people, survey_scan(w.survey, question_ids, ROW)
 
 
-def race_categories(people: DataFrame, answers: DataFrame) -> DataFrame:
-    """``race_ethnicity``, ``category`` per valid answer, the category found by question wording."""
-    label = race_label(F.col(CODES[0]), F.col(CODES[1]))
+def categories(answers: DataFrame) -> DataFrame:
+    """``person_id``, ``category`` per valid answer, the category found by question wording."""
     valid = answers.filter(is_valid_answer(F.col("answer")))
-    categories = valid.select("person_id", category_by_wording(F.col("question"), F.col("answer")).alias("category"))
-    return people.select("person_id", label.alias("race_ethnicity")).join(categories, "person_id")
+    return valid.select("person_id", category_by_wording(F.col("question"), F.col("answer")).alias("category"))
+
+
+def race_categories(people: DataFrame, answers: DataFrame) -> DataFrame:
+    """``person_id``, ``race_ethnicity``, ``category``, one row per valid answer."""
+    return with_race(people.select("person_id", *CODES)).join(categories(answers), "person_id")
+
+
+def race_cells(people: DataFrame, answers: DataFrame) -> DataFrame:
+    """Valid answers counted per race group and category."""
+    return count_joined(categories(answers), with_race(people), ["category"], ["race_ethnicity"])
 
 
 def subgroup_lookup(people: DataFrame, answers: DataFrame) -> DataFrame:
-    """``person_id``, ``detailed_race``: one row per subgroup a person of the group named."""
+    """``person_id``, ``detailed_race``: one row per subgroup a person of the group named.
+
+    Made distinct before the person check, so that repeated answers never reach a join.
+    """
     members = people.filter(F.col("race_concept_id") == vocab.ASIAN_CODE).select("person_id")
     named = answers.filter(matches(F.col("answer"), vocab.SUBGROUP_MARK, ignore_case=True))
     label = replace_first(F.col("answer"), vocab.SUBGROUP_PREFIX)
-    return named.select("person_id", label.alias("detailed_race")).join(members, "person_id").distinct()
+    return cohorts.keep_members(named.select("person_id", label.alias("detailed_race")).distinct(), members)
 
 
 def subgroup_categories(people: DataFrame, answers: DataFrame, clean: bool) -> DataFrame:
-    """One row per valid alcohol answer *and* subgroup: a person with two subgroups counts in both.
+    """Valid alcohol answers per person and subgroup: someone with two subgroups counts in both.
 
-    ``clean`` strips the question name from the answers before the category is made.
+    ``n`` is the number of equal answers; they are counted before the join. ``clean`` strips the
+    question name from the answers before the category is made.
     """
     asked = answers.filter(F.col("question_concept_id").isin(vocab.ALCOHOL_QUESTIONS)
                            & is_valid_answer(F.col("answer")))
     shown = remove_all(F.col("answer"), vocab.ANSWER_PREFIXES) if clean else F.col("answer")
-    categories = asked.select("person_id", "question_concept_id", shown.alias("clean_answer")).withColumn(
-        "category", category_by_id(F.col("question_concept_id"), F.col("clean_answer")))
+    counted = count_by(asked.withColumn("clean_answer", shown), "person_id", "question_concept_id", "clean_answer")
     return (subgroup_lookup(people, answers).withColumnRenamed("detailed_race", "race_ethnicity")
-            .join(categories, "person_id"))
+            .join(counted, "person_id")
+            .withColumn("category", category_by_id(F.col("question_concept_id"), F.col("clean_answer"))))
+
+
+def subgroup_cells(people: DataFrame, answers: DataFrame, clean: bool) -> DataFrame:
+    """The same counted per subgroup and category."""
+    return crosstab.cells(subgroup_categories(people, answers, clean), weight="n")
 
 
 def race_crosstab(w: Warehouse, ids: DataFrame, with_variant: bool = True) -> DataFrame:
     """Category x race with totals, in report order. The label list is closed, so it is given."""
     load = carrier_data if with_variant else noncarrier_data
-    counted = crosstab.cells(race_categories(*load(w, ids, vocab.ALCOHOL_QUESTIONS)))
+    counted = race_cells(*load(w, ids, vocab.ALCOHOL_QUESTIONS))
     return crosstab.with_totals(counted, vocab.ALL_RACES, order=vocab.CATEGORY_ORDER)
 
 
 def subgroup_crosstab(w: Warehouse, ids: DataFrame, with_variant: bool = True) -> DataFrame:
     """Category x subgroup with totals, in report order. Subgroup labels are looked up."""
     load = carrier_data if with_variant else noncarrier_data
-    rows = subgroup_categories(*load(w, ids, vocab.COHORT_QUESTIONS), clean=with_variant)
+    counted = subgroup_cells(*load(w, ids, vocab.COHORT_QUESTIONS), clean=with_variant)
     order = vocab.CLEAN_CATEGORY_ORDER if with_variant else vocab.CATEGORY_ORDER
-    return crosstab.with_totals(crosstab.cells(rows), order=order)
+    return crosstab.with_totals(counted, order=order)
 
 
-def chart_data(rows: DataFrame, question_group: str = "Frequency") -> DataFrame:
+def chart_data(counted: DataFrame, question_group: str = "Frequency") -> DataFrame:
     """Share of each answer inside each subgroup's bar, for one question group.
 
-    Takes the rows of ``subgroup_categories``. Empty cells are part of the chart data, so the
-    counts go through the wide form and back.
+    Takes ``subgroup_cells``. Empty cells are part of the chart data, so the counts go through
+    the wide form and back.
     """
-    counted, groups = crosstab.with_group_columns(crosstab.cells(rows), "race_ethnicity", None)
+    counted, groups = crosstab.with_group_columns(counted, "race_ethnicity", None)
     long = crosstab.long_counts(crosstab.wide(counted, groups), groups)
     split = crosstab.split_category(long).filter(F.col("question_group") == question_group)
     return crosstab.bar_shares(split)
@@ -101,11 +119,12 @@ def chart_data(rows: DataFrame, question_group: str = "Frequency") -> DataFrame:
 def regression_rows(rows: DataFrame) -> DataFrame:
     """``race_ethnicity``, ``drinking_frequency``, ``n``: outcome per person and subgroup.
 
-    ``n`` is the number of unnested rows, kept as a weight since the fit needs only counts.
+    Takes ``subgroup_categories``. ``n`` is the number of unnested rows, kept as a weight since
+    the fit needs only counts.
     """
     lifetime, frequency = str(vocab.LIFETIME), str(vocab.FREQUENCY)
     unnested = widen_lists(rows, ["person_id", "race_ethnicity"], "question_concept_id",
-                           "clean_answer", vocab.ALCOHOL_QUESTIONS)
+                           "clean_answer", vocab.ALCOHOL_QUESTIONS, weight="n")
     outcome = drinking_outcome(F.col(f"`{lifetime}`"), F.col(f"`{frequency}`"))
     return (unnested.select("person_id", "race_ethnicity", outcome.alias("drinking_frequency"), "n")
                     .filter(F.col("drinking_frequency").isNotNull()))

@@ -93,12 +93,8 @@ def missing_carriers(w: Warehouse, ids: DataFrame) -> DataFrame:
 
 
 def with_demographics(people: DataFrame, w: Warehouse) -> DataFrame:
-    """Left-join birth date, gender and sex; ``people`` keeps every row.
-
-    Cutting the person table to the cohort first keeps the lookups off everyone else.
-    """
-    wanted = cohorts.keep_members(w.person, people.select("person_id"))
-    return people.join(demographics(wanted, w.concept), "person_id", "left")
+    """Left-join birth date, gender and sex; ``people`` keeps every row."""
+    return people.join(demographics(w.person, w.concept), "person_id", "left")
 
 
 def with_age(people: DataFrame, as_of: AsOf, born: str = BORN) -> DataFrame:

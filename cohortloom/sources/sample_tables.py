@@ -39,6 +39,7 @@ _ANSWERS = [
     vocab.SUBGROUPS,
 ]
 SAMPLE_VIDS = ["199603"]
+_CARRIERS_PER_ROW = 1000
 
 
 class SampleWarehouse:
@@ -89,9 +90,12 @@ class SampleWarehouse:
 
     @cached_property
     def variants(self) -> DataFrame:
+        """Several rows per variant, none with more carriers than a block of keys has."""
         month = F.year("o_orderdate") * 100 + F.month("o_orderdate")
-        return (self.orders.groupBy(month.cast("string").alias("vid"))
-                    .agg(F.collect_set("o_custkey").alias("person_ids")))
+        block = F.floor(F.col("o_custkey") / _CARRIERS_PER_ROW)
+        return (self.orders.groupBy(month.cast("string").alias("vid"), block.alias("block"))
+                    .agg(F.collect_set("o_custkey").alias("person_ids"))
+                    .select("vid", "person_ids"))
 
     @cached_property
     def deaths(self) -> DataFrame:

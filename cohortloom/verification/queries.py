@@ -426,11 +426,11 @@ def subgroup_distribution(w):
 # --- crosstabs ---
 
 def _race_cells(w):
-    return crosstab.cells(crosstabs.race_categories(*crosstabs.carrier_data(w, _ids(w), vocab.ALCOHOL_QUESTIONS)))
+    return crosstabs.race_cells(*crosstabs.carrier_data(w, _ids(w), vocab.ALCOHOL_QUESTIONS))
 
 
-def _subgroup_rows(w, clean: bool = True):
-    return crosstabs.subgroup_categories(*crosstabs.carrier_data(w, _ids(w), vocab.COHORT_QUESTIONS), clean=clean)
+def _subgroup_cells(w):
+    return crosstabs.subgroup_cells(*crosstabs.carrier_data(w, _ids(w), vocab.COHORT_QUESTIONS), clean=True)
 
 
 @long_wording
@@ -440,7 +440,7 @@ def crosstab_wide(w):
 
 @query
 def fanout_crosstab(w):
-    return crosstab.cells(_subgroup_rows(w))
+    return _subgroup_cells(w)
 
 
 @long_wording
@@ -479,7 +479,7 @@ def unpivot_counts(w):
 
 @query
 def plot_shares(w):
-    return crosstabs.chart_data(_subgroup_rows(w))
+    return crosstabs.chart_data(_subgroup_cells(w))
 
 
 # --- regression ---
@@ -495,7 +495,8 @@ def pivot_list_unnest(w):
 
 @query
 def outcome_label(w):
-    return crosstabs.regression_rows(_subgroup_rows(w))
+    data = crosstabs.carrier_data(w, _ids(w), vocab.COHORT_QUESTIONS)
+    return crosstabs.regression_rows(crosstabs.subgroup_categories(*data, clean=True))
 
 
 def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
