@@ -11,7 +11,7 @@ from cohortloom import vocab
 from cohortloom.functions.labels import level_rank
 from cohortloom.functions.text import split_first
 from cohortloom.operators.counts import count_by, total_of
-from cohortloom.session import shared_folder
+from cohortloom.session import pinned
 
 _LAST = 2_147_483_647
 
@@ -26,15 +26,13 @@ def with_group_columns(counted: DataFrame, group: str,
                        groups: Sequence[str] | None) -> tuple[DataFrame, list[str]]:
     """The cells and the sorted column labels.
 
-    Unknown labels have to be looked up, which runs the job so far; the cells are then
-    checkpointed in the shared folder, so that the data behind them is read only once.
+    Unknown labels have to be looked up, which runs the job so far; the cells are pinned, so
+    that the data behind them is read only once.
     """
     if groups is not None:
         return counted, list(groups)
-    spark = counted.sparkSession
-    shared_folder(spark)
-    kept = counted.checkpoint()
-    limit = int(spark.conf.get("spark.sql.pivotMaxValues"))
+    kept = pinned(counted)
+    limit = int(kept.sparkSession.conf.get("spark.sql.pivotMaxValues"))
     found = kept.select(group).distinct().orderBy(F.col(group).asc_nulls_last()).limit(limit + 1).collect()
     if len(found) > limit:
         raise ValueError(f"more than {limit} distinct values of {group!r}; too many for columns")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.functions.normal import two_sided_p
+from cohortloom.session import pinned
 
 INTERCEPT = "(Intercept)"
 
@@ -40,7 +41,9 @@ def fit(counts: DataFrame, base_outcome: str, base_group: str | None = None) ->
     """Estimates, standard errors, relative risk ratios and z, one row per outcome and term.
 
     A term with an empty cell has no finite estimate: its numbers are NULL and ``finite`` false.
+    The counts are pinned, as the groups, the outcomes and the reference row all come from them.
     """
+    counts = pinned(counts)
     groups = _per_group(counts)
     outcomes = counts.agg(F.array_sort(F.collect_set("outcome"))).scalar()
     cell = lambda m, key: F.coalesce(F.try_element_at(m, key), F.lit(0))
@@ -84,6 +87,7 @@ def with_p_values(fitted: DataFrame) -> DataFrame:
 
 def deviance(counts: DataFrame) -> DataFrame:
     """One row: residual deviance, number of free coefficients and AIC."""
+    counts = pinned(counts)
     outcomes = counts.agg(F.count_distinct("outcome")).scalar()
     groups = _per_group(counts)
     log_likelihood = F.aggregate(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # AQE coalesces small shuffle partitions and splits the hot ones, so one generous
 # shuffle.partitions value serves both a laptop and a large cluster.
@@ -47,6 +47,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def pinned(table: DataFrame) -> DataFrame:
+    """A finished, table-sized result read back from the shared folder (``checkpoint``).
+
+    Runs the job so far. For counts that several later steps use: the data behind them is then
+    read once, and losing an executor does not bring the work back.
+    """
+    shared_folder(table.sparkSession)
+    return table.checkpoint()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder, never used before."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
