@@ -60,12 +60,12 @@ def drop_members_via_left(df: DataFrame, ids: DataFrame, key: str = "person_id")
 def not_in(df: DataFrame, ids: DataFrame, key: str = "person_id", ids_key: str = "person_id") -> DataFrame:
     """SQL ``NOT IN``: a NULL in a non-empty list, or a NULL key against one, matches nothing.
 
-    SQL text would make Spark broadcast the whole list whatever its size. Here two counts
-    of the list (a one-row scalar subquery) decide the NULL rules and an ordinary anti join,
-    sized by the planner, does the rest.
+    SQL text would make Spark broadcast the whole list whatever its size. Here one value from
+    the list (all known, or NULL for an empty list) decides the NULL rules, and an ordinary anti
+    join, sized by the planner, does the rest.
     """
-    facts = ids.agg(F.struct(F.count(F.lit(1)).alias("n"), F.count(ids_key).alias("known"))).scalar()
-    passes = F.when(facts.n == 0, True).otherwise((facts.n == facts.known) & F.col(key).isNotNull())
+    all_known = ids.agg(F.bool_and(F.col(ids_key).isNotNull())).scalar()
+    passes = F.when(F.col(key).isNotNull(), F.coalesce(all_known, F.lit(True))).otherwise(all_known.isNull())
     renamed = ids.select(F.col(ids_key).alias(key))
     return df.filter(passes).join(renamed, key, "left_anti")
 
