@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom import vocab
@@ -41,3 +41,8 @@ def split_first(value: Column, separator: str) -> tuple[Column, Column]:
 def to_id(value: Column) -> Column:
     """Id as bigint; text that is no number becomes NULL instead of failing the job."""
     return value.try_cast("bigint")
+
+
+def cast_ids(df: DataFrame, *columns: str) -> DataFrame:
+    """Make several columns ids at once; do it when loading, so that joins compare like with like."""
+    return df.withColumns({c: to_id(F.col(c)) for c in columns})

@@ -71,9 +71,9 @@ def not_in(df: DataFrame, ids: DataFrame, key: str = "person_id", ids_key: str =
 
 
 def membership_flag(df: DataFrame, ids: DataFrame, flag: str, key: str = "person_id") -> DataFrame:
-    """Add a 0/1 column saying whether the key is in ``ids``.
+    """Add a 0/1 column saying whether the key is in ``ids``; never NULL.
 
-    A left join to distinct ids, so that AQE can split a hot key of the left side.
+    Meant for frames with one row per key, or few. A broadcast list shuffles nothing.
     """
     marked = ids.select(key).distinct().withColumn(flag, F.lit(1))
     columns = [F.col(c) for c in df.columns if c != flag]

@@ -36,14 +36,15 @@ def shared_folder(spark: SparkSession) -> str:
 
     A local folder is made up only when the setting is absent *and* the session is local.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    in_use = context.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or in_use
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         folder = tempfile.mkdtemp(prefix="cohortloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+    if in_use is None:
+        context.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 

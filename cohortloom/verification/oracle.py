@@ -280,8 +280,8 @@ _BODIES = {
         WHERE death_date >= DATE '2021-01-01' AND death_type_concept_id IN (0, 2)""",
     "na_tokens": """SELECT c_custkey AS person_id,
         CASE WHEN c_mktsegment NOT IN ('BUILDING', 'MACHINERY') THEN c_mktsegment END AS answer FROM customer""",
-    "cast_keys": """SELECT c_name, CASE WHEN c_acctbal < 0 THEN c_name ELSE CAST(c_custkey AS VARCHAR) END AS text_id,
-        CASE WHEN c_acctbal < 0 THEN NULL ELSE c_custkey END AS person_id FROM customer""",
+    "cast_keys": """SELECT c_name, CASE WHEN c_acctbal < 0 THEN NULL ELSE c_custkey END AS person_id,
+        CAST(c_nationkey AS BIGINT) AS race_concept_id FROM customer""",
     "csv_roundtrip": "SELECT person_id, question_concept_id, question, answer FROM survey",
     "race_label": "SELECT * FROM initial",
     "race_counts": "SELECT race_ethnicity, count(DISTINCT person_id) AS n_people FROM initial GROUP BY race_ethnicity",
@@ -305,6 +305,8 @@ _BODIES = {
     "any_flag_or": "SELECT person_id FROM flagged",
     "genotyped_people": """SELECT person_id, race_ethnicity,
         CAST(person_id IN (SELECT person_id FROM flagged) AS INT) AS gene FROM raced""",
+    "genotyped_race_table": """SELECT race_ethnicity, count(*) AS n FROM raced
+        WHERE person_id IN (SELECT person_id FROM flagged) GROUP BY race_ethnicity""",
     "cohort_semi_join": "SELECT person_id, race_ethnicity FROM halves WHERE half = 'carriers'",
     "cohort_anti_join": "SELECT person_id, race_ethnicity FROM halves WHERE half = 'noncarriers'",
     "anti_via_left": "SELECT person_id, race_ethnicity FROM halves WHERE half = 'noncarriers'",
@@ -320,11 +322,12 @@ _BODIES = {
     "ids_in_both": "SELECT person_id FROM flagged INTERSECT SELECT person_id FROM deaths",
     "ids_missing": "SELECT person_id FROM known_carriers EXCEPT SELECT person_id FROM cohort",
     "single_answer_only": "SELECT person_id, answer FROM single_subgroup",
-    "left_join_suffix": """SELECT a.person_id, a.answer AS answer_x, b.answer AS answer_y
-        FROM survey a LEFT JOIN survey b ON a.person_id = b.person_id AND b.question_concept_id = 1586151
-        WHERE a.question_concept_id = 1586201 AND a.answer IS NOT NULL AND b.answer IS NOT NULL""",
-    "answers_by_group": """SELECT i.person_id, i.race_ethnicity, u.answer FROM initial i
-        JOIN unrefused u ON u.person_id = i.person_id WHERE u.question_concept_id = 1586201 AND u.answer IS NOT NULL""",
+    "left_join_suffix": """SELECT a.person_id, a.answer AS answer_x, count(*) AS n, b.answer AS answer_y
+        FROM survey a JOIN single_subgroup b ON a.person_id = b.person_id
+        WHERE a.question_concept_id = 1586201 AND a.answer IS NOT NULL AND b.answer IS NOT NULL GROUP BY ALL""",
+    "answers_by_group": """SELECT i.person_id, i.race_ethnicity, u.answer, count(*) AS n FROM initial i
+        JOIN unrefused u ON u.person_id = i.person_id WHERE u.question_concept_id = 1586201 AND u.answer IS NOT NULL
+        GROUP BY ALL""",
     "cohort_with_demographics": """SELECT person_id, race_ethnicity, CAST(date_of_birth AS VARCHAR) AS date_of_birth,
         gender, sex_at_birth, CAST(age AS INT) AS age, age_group FROM aged WHERE half = 'carriers'""",
     "breakdown_full_join": """SELECT coalesce(a.race_ethnicity, b.race_ethnicity) AS race_ethnicity, with_variant, without_variant

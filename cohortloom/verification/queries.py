@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cohortloom import vocab
 from cohortloom.functions.labels import collapse
 from cohortloom.functions.predicates import is_answered, is_valid_answer, not_listed
-from cohortloom.functions.text import na_to_null, remove_all, to_id
+from cohortloom.functions.text import cast_ids, na_to_null, remove_all
 from cohortloom.operators import cohorts, counts, crosstab, joins, multinomial, reshape, tables
 from cohortloom.plans import answers, crosstabs, people
 from cohortloom.session import scratch_path
@@ -86,8 +86,11 @@ def na_tokens(w):
 
 @query
 def cast_keys(w):
+    """Ids exported as text; where the balance is negative the text is not a number."""
     text = F.when(F.col("c_acctbal") < 0, F.col("c_name")).otherwise(F.col("c_custkey").cast("string"))
-    return w.customers.select("c_name", text.alias("text_id")).withColumn("person_id", to_id(F.col("text_id")))
+    exported = w.customers.select("c_name", text.alias("person_id"),
+                                  F.col("c_nationkey").cast("string").alias("race_concept_id"))
+    return cast_ids(exported, "person_id", "race_concept_id")
 
 
 @query
@@ -173,6 +176,12 @@ def genotyped_people(w):
     return people.genotyped(people.with_race(w.person.select("person_id", *people.CODES)), w)
 
 
+@query
+def genotyped_race_table(w):
+    everyone = people.genotyped(people.with_race(w.person.select("person_id", *people.CODES)), w)
+    return counts.frequency(everyone.filter("gene = 1"), "race_ethnicity")
+
+
 @query
 def cohort_semi_join(w):
     return people.carrier_cohort(w, _ids(w))
@@ -228,8 +237,8 @@ def single_answer_only(w):
 
 @query
 def left_join_suffix(w):
-    both = joins.suffix_join(answers.question_answers(w, vocab.FREQUENCY), answers.question_answers(w, vocab.SUBGROUP),
-                             ["person_id"], suffixes=("_x", "_y"))
+    asked = counts.count_by(answers.question_answers(w, vocab.FREQUENCY), "person_id", "answer")
+    both = joins.suffix_join(asked, answers.single_subgroup(w), ["person_id"], suffixes=("_x", "_y"))
     return both.filter(F.col("answer_x").isNotNull() & F.col("answer_y").isNotNull())
 
 
@@ -237,7 +246,8 @@ def left_join_suffix(w):
 def answers_by_group(w):
     kept = answers.question_answers(w, vocab.FREQUENCY).filter(
         not_listed(F.col("answer"), vocab.REFUSALS_AND_BLANKS))
-    return people.initial_cohort(w).join(kept, "person_id", "left").filter(is_answered(F.col("answer")))
+    counted = counts.count_by(kept, "person_id", "answer")
+    return people.initial_cohort(w).join(counted, "person_id", "left").filter(is_answered(F.col("answer")))
 
 
 @query

@@ -27,6 +27,7 @@ def test_carrier_list_is_broadcast_only_when_counted_small(spark):
     left = ids(spark, range(50))
     small = cohorts.keep_members(left, sizing.broadcast_if_small(ids(spark, [1, 2]), max_rows=2))
     large = cohorts.keep_members(left, sizing.broadcast_if_small(ids(spark, [1, 2, 3]), max_rows=2))
+    assert [sizing.is_broadcast(sizing.broadcast_if_small(ids(spark, [1, 2]), n)) for n in (1, 2)] == [False, True]
     assert "BroadcastHashJoin" in plan(small)
     assert "SortMergeJoin" in plan(large)
     assert small.count() == 2 and large.count() == 3

@@ -55,6 +55,8 @@ def test_text_helpers(spark):
     assert one(spark, lambda c: text.remove_all(c, ["A: ", "B: "]), "A: B: xA: ") == "x"
     assert many(spark, text.na_to_null, ["", "NA", "x", "NAN"]) == [None, None, "x", "NAN"]
     assert many(spark, text.to_id, ["12", "x", None, "9007199254740993"]) == [12, None, None, 9007199254740993]
+    df = spark.createDataFrame([("1", "x"), ("2", "3")], "a string, b string")
+    assert [tuple(r) for r in text.cast_ids(df, "a", "b").collect()] == [(1, None), (2, 3)]
     both = lambda c: F.array(*text.split_first(c, ": "))
     assert many(spark, both, ["a: b: c", "Other"]) == [["a", "b: c"], ["Other", None]]
 
