@@ -66,15 +66,20 @@ def ordered_from_counts(counts: DataFrame, answer: str = "answer", levels: Seque
 
 
 def stratified_np(df: DataFrame, group: str, answer: str, levels: Sequence[str] | None = None,
-                  by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+                  by: Sequence[str] = ()) -> DataFrame:
     """``n (p%)`` per group and answer, the percent taken inside the group.
 
-    All strata in one aggregation, over rows or over counts in ``weight``. Labels are mapped to levels first, so unlisted answers of
-    a group share one NULL row.
+    All strata in one aggregation. Labels are mapped to levels first, so unlisted answers of a
+    group share one NULL row.
     """
     if levels is not None:
         df = df.withColumn(answer, as_level(F.col(answer), levels))
-    counts = count_by(df, *by, group, answer, name="count", weight=weight)
+    return np_from_counts(count_by(df, *by, group, answer, name="count"), group, answer, levels, by)
+
+
+def np_from_counts(counts: DataFrame, group: str, answer: str, levels: Sequence[str] | None = None,
+                   by: Sequence[str] = ()) -> DataFrame:
+    """The same from levels already counted in a column ``count``."""
     shares = with_percent(counts, "count", [*by, group])
     rank = level_rank(F.col(answer), levels) if levels is not None else F.lit(None).cast("int")
     return (shares.withColumn("value", count_with_percent(F.col("count"), F.col("percent")))

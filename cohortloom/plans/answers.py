@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom import vocab
-from cohortloom.functions.labels import collapse
+from cohortloom.functions.labels import as_level, collapse
 from cohortloom.functions.predicates import is_answered, not_listed
 from cohortloom.operators import cohorts
 from cohortloom.operators.counts import count_by, count_joined, with_percent
-from cohortloom.operators.tables import ordered_from_counts, stratified_np
+from cohortloom.operators.tables import np_from_counts, ordered_from_counts
 from cohortloom.plans.people import flagged_cohort, initial_cohort, one_group
 from cohortloom.sources.warehouse import Warehouse, survey_scan
 
@@ -61,10 +61,11 @@ def race_group_answers(w: Warehouse, levels: Mapping[int, Sequence[str]],
     """``n (p%)`` of each listed question per race group, of people who answered it."""
     answers = survey_scan(w.survey, list(levels), ("person_id", "question_concept_id", "answer"))
     kept = answers.filter(not_listed(F.col("answer"), vocab.REFUSALS_AND_BLANKS) & is_answered(F.col("answer")))
+    order = [level for listed in levels.values() for level in listed]
+    kept = kept.withColumn("answer", as_level(F.col("answer"), order))
     people = initial_cohort(w).filter(F.col("race_ethnicity").isin(list(groups)))
     counts = count_joined(kept, people, ["question_concept_id", "answer"], ["race_ethnicity"])
-    order = [level for listed in levels.values() for level in listed]
-    return stratified_np(counts, "race_ethnicity", "answer", order, by=["question_concept_id"], weight="count")
+    return np_from_counts(counts, "race_ethnicity", "answer", order, by=["question_concept_id"])
 
 
 def single_subgroup(w: Warehouse) -> DataFrame:
@@ -87,8 +88,9 @@ def subgroup_answers(w: Warehouse, ids: DataFrame, question_id: int, levels: Seq
         not_listed(answer, vocab.REFUSALS_AND_BLANKS) & answer.isNotNull())
     if collapsed is not None:
         kept = kept.withColumn("answer", collapse(answer, collapsed))
+    kept = kept.withColumn("answer", as_level(answer, levels))
     counts = count_joined(kept, subgroup_members(w, ids), ["answer"], ["half", "subgroup"])
-    return stratified_np(counts, "subgroup", "answer", levels, by=["half"], weight="count")
+    return np_from_counts(counts, "subgroup", "answer", levels, by=["half"])
 
 
 def subgroup_distribution(w: Warehouse, ids: DataFrame) -> DataFrame:

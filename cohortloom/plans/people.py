@@ -16,7 +16,7 @@ from cohortloom.functions.dates import AsOf, completed_years
 from cohortloom.functions.labels import band, keep_or_other, race_label
 from cohortloom.operators import checks, cohorts
 from cohortloom.operators.counts import count_by, distinct_by
-from cohortloom.operators.joins import lookup_names, merge_counts
+from cohortloom.operators.joins import lookup_names
 from cohortloom.operators.tables import distribution_of, group_distribution
 from cohortloom.sources.warehouse import ROLES, Warehouse, demographics
 
@@ -131,11 +131,13 @@ def age_range_count(people: DataFrame, as_of: AsOf, low: int, high: int) -> Data
 
 
 def race_breakdown(w: Warehouse, ids: DataFrame) -> DataFrame:
-    """Carriers and non-carriers per group side by side; a group without any has NULL."""
-    counts = count_by(flagged_cohort(w, ids), "carrier", "race_ethnicity")
-    half = lambda flag, name: (counts.filter(F.col("carrier") == flag)
-                               .select("race_ethnicity", F.col("n").alias(name)))
-    return merge_counts(half(1, "with_variant"), half(0, "without_variant"), "race_ethnicity")
+    """Carriers and non-carriers per group side by side; a group without any has NULL.
+
+    Same table as ``merge_counts`` of the two halves' counts, in one pass over the cohort.
+    """
+    half = lambda flag: F.sum(F.when(F.col("carrier") == flag, 1))
+    return (flagged_cohort(w, ids).groupBy("race_ethnicity")
+            .agg(half(1).alias("with_variant"), half(0).alias("without_variant")))
 
 
 def reconciliation(w: Warehouse, ids: DataFrame, as_of: AsOf) -> DataFrame:

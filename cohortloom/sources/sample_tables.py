@@ -7,18 +7,15 @@ to make a table smaller), and missing values are put in, because the base tables
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortloom import vocab
 from cohortloom.functions.labels import first_match
 
-_CUSTOMER = "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING"
-_ORDERS = "o_orderkey BIGINT, o_custkey BIGINT, o_orderdate TIMESTAMP_NTZ"
-_NATION = "n_nationkey INT, n_name STRING, n_regionkey INT"
-
 # Question per order, by order key modulo 5.
 _QUESTION_IDS = [*vocab.ALCOHOL_QUESTIONS, vocab.SUBGROUP]
 _SHORT_NAMES = [*vocab.QUESTION_NAMES.values(), "Race: What Race Ethnicity"]
@@ -42,22 +39,29 @@ SAMPLE_VIDS = ["199603"]
 _CARRIERS_PER_ROW = 1000
 
 
+@lru_cache
+def _schema(spark: SparkSession, path: str) -> T.StructType:
+    """Looked up in the footer once per path, not once per query."""
+    return spark.read.parquet(path).schema
+
+
 class SampleWarehouse:
     """Same attributes as ``Warehouse``, each built when first used."""
 
     def __init__(self, spark: SparkSession, folder: str, wording: str = "short"):
         self.spark, self.folder, self.wording = spark, folder.rstrip("/"), wording
 
-    def _read(self, name: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}.parquet")
+    def _read(self, name: str) -> DataFrame:
+        path = f"{self.folder}/{name}.parquet"
+        return self.spark.read.schema(_schema(self.spark, path)).parquet(path)
 
     @cached_property
     def customers(self) -> DataFrame:
-        return self._read("customer", _CUSTOMER)
+        return self._read("customer")
 
     @cached_property
     def orders(self) -> DataFrame:
-        return self._read("orders", _ORDERS)
+        return self._read("orders")
 
     @cached_property
     def person(self) -> DataFrame:
@@ -75,7 +79,7 @@ class SampleWarehouse:
     @cached_property
     def concept(self) -> DataFrame:
         key = F.col("n_nationkey")
-        return self._read("nation", _NATION).select(
+        return self._read("nation").select(
             key.alias("concept_id"),
             first_match([(key == 0, "Female"), (key == 1, "Male"), (key == 2, "Intersex")],
                         F.col("n_name")).alias("concept_name"))

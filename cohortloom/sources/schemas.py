@@ -1,14 +1,17 @@
-"""Schemas of the warehouse tables. Declared, so that opening a table starts no inference job."""
+"""Schemas of the warehouse tables. Declared, so that opening a table starts no inference job.
 
-PERSON = """person_id BIGINT, gender_concept_id INT, birth_datetime TIMESTAMP, race_concept_id INT,
-    ethnicity_concept_id INT, sex_at_birth_concept_id INT, self_reported_category_concept_id INT"""
-CONCEPT = "concept_id INT, concept_name STRING"
-SURVEY = """person_id BIGINT, question_concept_id INT, question STRING, answer STRING,
+All integers are BIGINT: the warehouse's own type, and 32-bit Parquet columns widen to it.
+"""
+
+PERSON = """person_id BIGINT, gender_concept_id BIGINT, birth_datetime TIMESTAMP, race_concept_id BIGINT,
+    ethnicity_concept_id BIGINT, sex_at_birth_concept_id BIGINT, self_reported_category_concept_id BIGINT"""
+CONCEPT = "concept_id BIGINT, concept_name STRING"
+SURVEY = """person_id BIGINT, question_concept_id BIGINT, question STRING, answer STRING,
     survey_version_name STRING"""
-AVAILABILITY = """person_id BIGINT, has_whole_genome_variant INT, has_lr_whole_genome_variant INT,
-    has_array_data INT, has_structural_variant_data INT"""
+AVAILABILITY = """person_id BIGINT, has_whole_genome_variant BIGINT, has_lr_whole_genome_variant BIGINT,
+    has_array_data BIGINT, has_structural_variant_data BIGINT"""
 VARIANTS = "vid STRING, person_ids ARRAY<BIGINT>"
-DEATHS = """person_id BIGINT, death_date DATE, death_type_concept_id INT, cause_concept_id INT,
+DEATHS = """person_id BIGINT, death_date DATE, death_type_concept_id BIGINT, cause_concept_id BIGINT,
     primary_death_record BOOLEAN, src_id STRING"""
 
 TABLES = {

@@ -289,7 +289,7 @@ _BODIES = {
         WHERE question = 'Alcohol: Drink Frequency Past Year'""",
     "drop_refusals": "SELECT person_id, question_concept_id, answer FROM unrefused",
     "valid_answers": "SELECT person_id, question_concept_id, answer FROM valid",
-    "regex_categories": "SELECT person_id, race_ethnicity, category FROM race_rows_all",
+    "regex_categories": "SELECT person_id, race_ethnicity, category FROM long_rows",
     "clean_answer": """SELECT person_id, answer, regexp_replace(answer,
         'Drink Frequency Past Year: |Average Daily Drink Count: |6 or More Drinks Occurrence: |Alcohol Participant: ',
         '', 'g') AS clean_answer FROM survey""",
@@ -436,7 +436,7 @@ _BODIES = {
         FROM model_cells c JOIN (SELECT g, CAST(sum(n) AS DOUBLE) AS size FROM model_cells GROUP BY g) t ON t.g = c.g) x""",
     "multinomial_pvalues": _PVALUES,
 }
-_BODIES["regex_categories"] = "SELECT person_id, race_ethnicity, category FROM long_rows"
+_BODIES["race_breakdown"] = _BODIES["breakdown_full_join"]
 
 ORACLE: dict[str, str] = {}
 for _name, _body in _BODIES.items():

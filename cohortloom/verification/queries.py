@@ -257,6 +257,14 @@ def cohort_with_demographics(w):
 
 @query
 def breakdown_full_join(w):
+    ids = _ids(w)
+    half = lambda df, name: counts.count_by(df, "race_ethnicity").withColumnRenamed("n", name)
+    return joins.merge_counts(half(people.carrier_cohort(w, ids), "with_variant"),
+                              half(people.noncarrier_cohort(w, ids), "without_variant"), "race_ethnicity")
+
+
+@query
+def race_breakdown(w):
     return people.race_breakdown(w, _ids(w))
 
 

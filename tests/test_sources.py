@@ -36,13 +36,20 @@ def test_warehouse_scans(spark, stored, rows):
     scan = warehouse.survey_scan(w.survey, [vocab.FREQUENCY, vocab.QUANTITY], ("person_id", "answer"))
     assert rows(scan) == [(1, "a"), (2, None)]
     assert "PushedFilters: [In(question_concept_id, [1586201,1586207])]" in plan(scan)
-    assert "ReadSchema: struct<person_id:bigint,question_concept_id:int,answer:string>" in plan(scan)
+    assert "ReadSchema: struct<person_id:bigint,question_concept_id:bigint,answer:string>" in plan(scan)
     assert rows(warehouse.deaths_scan(w.deaths)) == [(5, dt.date(2020, 1, 1), 1, None, True, "s")]
     people = warehouse.demographics(w.person, w.concept, list(warehouse.ROLES), ["race_concept_id"])
     assert people.columns == ["person_id", "date_of_birth", "race_concept_id", *warehouse.ROLES]
     assert tuple(people.orderBy("person_id").first())[2:] == (8515, "G", "Male", "S")
 
 
+def test_32_bit_columns_widen(spark, stored):
+    narrow = spark.createDataFrame([(1, "a")], "concept_id int, concept_name string")
+    narrow.write.parquet(str(stored / "narrow"))
+    w = Warehouse.from_parquet(spark, str(stored), {"concept": "narrow"})
+    assert w.concept.dtypes[0] == ("concept_id", "bigint") and w.concept.first().concept_id == 1
+
+
 def test_warehouse_names_and_catalog(spark, stored):
     (stored / "ds_survey").rename(stored / "other")
     assert Warehouse.from_parquet(spark, str(stored), {"survey": "other"}).survey.count() == 3

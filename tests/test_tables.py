@@ -39,11 +39,11 @@ def test_stratified_merges_unlisted_answers(spark, rows):
     assert [tuple(r) for r in wide] == [(1, "lo", "1 (33.33%)", "1 (100.00%)"), (None, None, "2 (66.67%)", None)]
 
 
-def test_stratified_takes_counts(spark, rows):
-    raw = spark.createDataFrame([("A", "lo")] * 5 + [("A", "x"), ("A", "y")], "g string, answer string")
+def test_stratified_from_counts(spark, rows):
+    raw = spark.createDataFrame([("A", "lo")] * 5 + [("A", None)] * 2, "g string, answer string")
     counted = counts.count_by(raw, "g", "answer", name="count")
     assert rows(tables.stratified_np(raw, "g", "answer", ["lo"])) == rows(
-        tables.stratified_np(counted, "g", "answer", ["lo"], weight="count"))
+        tables.np_from_counts(counted, "g", "answer", ["lo"]))
 
 
 def test_group_distribution(spark):
