@@ -50,19 +50,22 @@ def ordered_from_counts(counts: DataFrame, answer: str = "answer", levels: Seque
     levels the rows stay in label order.
     """
     shares = with_percent(counts, "count", by)
-    if levels is None:
-        rows, last = shares.withColumn("row_order", F.lit(1)), 2
-    else:
+    sums = [F.coalesce(F.sum("count"), F.lit(0)).alias("count"), F.coalesce(F.sum("percent"), F.lit(0.0)).alias("percent")]
+    is_total = F.col("__total")
+    if by:  # each share goes to its own row and to its group's total, in one aggregation
+        twice = shares.withColumn("__total", F.explode(F.array(F.lit(False), F.lit(True))))
+        table = twice.groupBy(*by, "__total", F.when(~is_total, F.col(answer)).alias(answer)).agg(*sums)
+    else:  # an ungrouped aggregate has its row, a total of 0, even without any answers
+        table = (shares.withColumn("__total", F.lit(False))
+                 .unionByName(shares.agg(*sums).withColumns({answer: F.lit(None).cast("string"), "__total": F.lit(True)})))
+    rank, label, last = F.lit(1), F.col(answer), 2
+    if levels is not None:
         rank = F.coalesce(level_rank(F.col(answer), levels), F.lit(len(levels) + 1))
-        rows = shares.withColumns({"row_order": rank, answer: as_level(F.col(answer), levels)})
-        last = len(levels) + 2
-    total = (shares.groupBy(*by).agg(F.coalesce(F.sum("count"), F.lit(0)).alias("count"),
-                                     F.coalesce(F.sum("percent"), F.lit(0.0)).alias("percent"))
-                   .withColumns({answer: F.lit("Total"), "row_order": F.lit(last)}))
-    columns = [*by, "row_order", answer, "count", "percent"]
-    return (rows.select(*columns).unionByName(total.select(*columns))
-                .withColumn("percent", fixed2(F.col("percent")))
-                .orderBy(*by, "row_order", answer))
+        label, last = as_level(F.col(answer), levels), len(levels) + 2
+    return (table.select(*by, F.when(is_total, last).otherwise(rank).alias("row_order"),
+                         F.when(is_total, "Total").otherwise(label).alias(answer),
+                         "count", fixed2(F.col("percent")).alias("percent"))
+                 .orderBy(*by, "row_order", answer))
 
 
 def stratified_np(df: DataFrame, group: str, answer: str, levels: Sequence[str] | None = None,

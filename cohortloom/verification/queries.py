@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +25,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
+@lru_cache
+def _warehouse(spark: SparkSession, folder: str, wording: str) -> SampleWarehouse:
+    """Table definitions (plans, no data) are made once per folder."""
+    return SampleWarehouse(spark, folder, wording)
+
+
 def _query(fn: Callable[[SampleWarehouse], DataFrame], wording: str = "short") -> None:
-    QUERIES[fn.__name__] = lambda spark, sf_dir: fn(SampleWarehouse(spark, sf_dir, wording))
+    QUERIES[fn.__name__] = lambda spark, sf_dir: fn(_warehouse(spark, sf_dir, wording))
 
 
 def query(fn):
