@@ -32,6 +32,9 @@ def compare(spark, duck, name):
     expected = sorted((tuple(r[i] for i in order) for r in result.fetchall()), key=repr)
     assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr) == expected
     assert expected, "a query without rows checks nothing"
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    assert ("EvalPython" in plan) == (name == "multinomial_pvalues")
 
 
 @pytest.mark.parametrize("name", sorted(entry.queries()))
