@@ -13,15 +13,16 @@ from cohortloom.operators.sizing import broadcast_if_small
 
 
 def flagged(df: DataFrame, flags: Sequence[str] = tuple(vocab.DATA_FLAGS), key: str = "person_id") -> DataFrame:
-    """Ids of rows with at least one flag set: one scan, instead of a union of one per flag.
-
-    Ids may repeat. That is all a semi or anti join needs, and it saves a shuffle.
-    """
+    """Ids of rows with at least one flag set: one scan, instead of a union of one per flag."""
     return df.filter(reduce(Column.__or__, [F.col(f) == 1 for f in flags])).select(key)
 
 
 def any_flag(df: DataFrame, flags: Sequence[str] = tuple(vocab.DATA_FLAGS), key: str = "person_id") -> DataFrame:
-    """The same ids, each once."""
+    """The same ids, each once.
+
+    As the right side of a sort-merge join this costs no further shuffle, and an id that repeats
+    very often is folded before the one there is.
+    """
     return flagged(df, flags, key).distinct()
 
 
@@ -42,7 +43,7 @@ def checked_carriers(variants: DataFrame, vids: Sequence[str]) -> DataFrame:
 
 
 def keep_members(df: DataFrame, ids: DataFrame, key: str = "person_id") -> DataFrame:
-    """Rows whose key is in ``ids`` (which may repeat)."""
+    """Rows whose key is in ``ids``. They may repeat; if one may do so often, make them distinct."""
     return df.join(ids, key, "left_semi")
 
 
@@ -82,13 +83,13 @@ def membership_flag(df: DataFrame, ids: DataFrame, flag: str, key: str = "person
 
 
 def ids_in_both(left: DataFrame, right: DataFrame, key: str = "person_id") -> DataFrame:
-    """Ids present in both frames, each once."""
-    return left.select(key).intersect(right.select(key))
+    """Ids present in both frames, each once; folded before they are brought together."""
+    return left.select(key).distinct().intersect(right.select(key).distinct())
 
 
 def ids_missing(left: DataFrame, right: DataFrame, key: str = "person_id") -> DataFrame:
-    """Ids of ``left`` that ``right`` lacks, each once."""
-    return left.select(key).subtract(right.select(key))
+    """Ids of ``left`` that ``right`` lacks, each once; folded before they are brought together."""
+    return left.select(key).distinct().subtract(right.select(key).distinct())
 
 
 def single_row_groups(df: DataFrame, keys: Sequence[str] = ("person_id",)) -> DataFrame:

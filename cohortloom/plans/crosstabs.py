@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom import vocab
-from cohortloom.functions.labels import category_by_id, category_by_wording, drinking_outcome, race_label
+from cohortloom.functions.labels import category_by_id, category_by_wording, drinking_outcome
 from cohortloom.functions.predicates import is_valid_answer, matches
 from cohortloom.functions.text import remove_all, replace_first
 from cohortloom.operators import cohorts, crosstab, multinomial

@@ -27,7 +27,7 @@ BORN, SEX = "birth_datetime", "sex_at_birth_concept_id"
 
 def cohort_extract(w: Warehouse, flags: Sequence[str] = tuple(vocab.DATA_FLAGS)) -> DataFrame:
     """People with any data flag, their codes, birth date and names of the three roles."""
-    people = cohorts.keep_members(w.person, cohorts.flagged(w.availability, flags))
+    people = cohorts.keep_members(w.person, cohorts.any_flag(w.availability, flags))
     return demographics(people, w.concept, list(ROLES), CODES)
 
 
@@ -40,7 +40,7 @@ def with_race(people: DataFrame) -> DataFrame:
 def initial_cohort(w: Warehouse, keep: Sequence[str] = ()) -> DataFrame:
     """``person_id``, ``race_ethnicity``: people with any data flag, dead or alive."""
     people = w.person.select("person_id", *CODES, *keep)
-    return with_race(cohorts.keep_members(people, cohorts.flagged(w.availability)))
+    return with_race(cohorts.keep_members(people, cohorts.any_flag(w.availability)))
 
 
 def cohort(w: Warehouse, keep: Sequence[str] = ()) -> DataFrame:
@@ -48,7 +48,7 @@ def cohort(w: Warehouse, keep: Sequence[str] = ()) -> DataFrame:
 
     Three person-level tables joined on one key, so each is shuffled at most once.
     """
-    return cohorts.drop_members(initial_cohort(w, keep), w.deaths.select("person_id"))
+    return cohorts.drop_members(initial_cohort(w, keep), w.deaths.select("person_id").distinct())
 
 
 def race_counts(w: Warehouse) -> DataFrame:
