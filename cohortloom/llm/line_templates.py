@@ -32,7 +32,8 @@ def lines_of(df: DataFrame, text: str, lead: int, min_tokens: int) -> DataFrame:
     df = df.select(F.col(text).cast("string").alias("t")).where(F.col("t").isNotNull())
     df = df.select(*text_key(F.col("t")), F.split("t", "\n").alias("lines"))
     near = lambda i: F.coalesce(leading(F.get("lines", i), lead), F.lit("\n"))
-    df = df.select("k1", "k2", F.inline(F.transform("lines", lambda x, i: F.struct(
+    # The outer form keeps Spark from adding a filter that would split the text again for every line.
+    df = df.select("k1", "k2", F.inline_outer(F.transform("lines", lambda x, i: F.struct(
         i.alias("line_no"), F.trim(x).alias("line"), F.xxhash64(near(i - 1), near(i + 1)).alias("context")))))
     n = (F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1)
     return df.withColumn("n", n).where(F.col("n") >= min_tokens).withColumn(
@@ -51,7 +52,7 @@ def recurring_lines(df: DataFrame, text: str = "text", lead: int = 3, min_contex
     cand = cut(lines.join(leaves.select("leaf"), "leaf", "left_semi").select("k1", "k2", "line_no", "line", "n", "leaf", "context"))
     # One row per distinct line from here on: a line that a third of all documents share counts as one row.
     known = cand.groupBy("leaf", "line", "n").agg(F.count(F.lit(1)).alias("times"))
-    tokens = cut(known.select("leaf", "line", "n", "times", F.posexplode(F.split("line", " ")).alias("pos", "token")))
+    tokens = cut(known.select("leaf", "line", "n", "times", F.posexplode_outer(F.split("line", " ")).alias("pos", "token")))
     constant = tokens.groupBy("leaf", "pos", "token").agg(F.sum("times").alias("s")).where(F.col("s") >= min_contexts)
     constant = constant.select("leaf", "pos", "token", F.lit(True).alias("constant"))
     tokens = tokens.join(constant, ["leaf", "pos", "token"], "left")

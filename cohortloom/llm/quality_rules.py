@@ -47,13 +47,14 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
         F.transform("m_at", lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get("m_at", k + 1) - x, F.lit(WINDOW)))),
         F.lit(0), lambda a, b: a + b)
     symbols = F.length("m_t") - F.length(F.translate("m_t", "#*$%&|<>", ""))
-    return df.withColumn("m", F.struct(
+    # A generated column: a filter on it is not moved below the arrays, where it would compute them per element.
+    return df.withColumn("m", F.explode_outer(F.array(F.struct(
         F.size("m_w").cast("long").alias("n_words"),
         F.length(F.array_join("m_w", "")).cast("long").alias("word_chars"),
         symbols.cast("long").alias("n_symbols"),
         (F.size("m_lines") - F.size(F.array_distinct("m_lines"))).cast("long").alias("n_dup_lines"),
         repeat.cast("long").alias("n_repeat_words"),
-    )).drop("m_t", "m_w", "m_lines", "m_h", "m_win", "m_sorted", "m_at")
+    )))).drop("m_t", "m_w", "m_lines", "m_h", "m_win", "m_sorted", "m_at")
 
 
 def base_failed(m: str = "m") -> Column:
