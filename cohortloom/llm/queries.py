@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cohortloom.llm import jaccard_forest, line_templates, mixing, packing, quality_rules
+from cohortloom.llm import jaccard_forest, licence_index, line_templates, main_text, mixing, neighbour_quality, packing, quality_rules, topk
 from cohortloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,24 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "class_id", "n_links")
 
 
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = licence_index.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("row.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = neighbour_quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return got.select(F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = quality_rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return got.select("row.doc_id", *[f"m.{c}" for c in quality_rules.MEASURES], "base_failed", "kept", "host_rejected")
@@ -47,6 +65,10 @@ QUERIES: dict[str, Query] = {
     "op2_packing": op2_packing,
     "op3_line_templates": op3_line_templates,
     "op8_jaccard": op8_jaccard,
+    "op4_licences": op4_licences,
+    "op5_quality": op5_quality,
+    "op7_main_text": op7_main_text,
+    "op9_topk": op9_topk,
     "op10_quality_rules": op10_quality_rules,
     "pipeline": corpus_pipeline.run,
 }
