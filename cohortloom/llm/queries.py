@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cohortloom.llm import jaccard_forest, licence_index, line_templates, main_text, mixing, neighbour_quality, packing, quality_rules, topk
+from cohortloom.llm import jaccard_forest, licence_index, line_templates, main_text, mixing, neighbour_quality, packing, quality_rules, secret_forest, topk
 from cohortloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_forest.scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).withColumnRenamed("id", "doc_id")
+
+
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(table(spark, sf_dir, "pages"))
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Query] = {
     "op8_jaccard": op8_jaccard,
     "op4_licences": op4_licences,
     "op5_quality": op5_quality,
+    "op6_secrets": op6_secrets,
     "op7_main_text": op7_main_text,
     "op9_topk": op9_topk,
     "op10_quality_rules": op10_quality_rules,
