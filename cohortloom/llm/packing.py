@@ -16,6 +16,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from cohortloom.llm.common import cut
 
 END = 1
+#: Signs that are one unit when they stand together.
+_SIGNS = "!#$%&*+,-./:;=?@^_~|()[]{}"
 #: Letters whose lower case is one letter in every library.
 _LATIN = re.compile("[\x00-\x7f\xa0-\u012f\u0131-\u017f]*").fullmatch
 
@@ -46,7 +49,8 @@ class Encoder:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.starts, self.sizes, self.flat = [], [], []
+        # Flat arrays, which numpy reads in place.
+        self.starts, self.sizes, self.flat = array("q"), array("q"), array("I")
 
     def _learn(self, new: list[str]) -> None:
         """Words of letters alone are one unit each, so many of them are encoded as one text."""
@@ -79,10 +83,10 @@ class Encoder:
         split = [_stretches(t) for t in texts]
         index = self.index
         self._learn([w for w in dict.fromkeys(w for words in split for w in words) if w not in index])
-        starts, sizes = np.array(self.starts, np.int64), np.array(self.sizes, np.int64)
-        flat = np.array(self.flat, "<u4")
+        starts, sizes = np.frombuffer(self.starts, np.int64), np.frombuffer(self.sizes, np.int64)
+        flat = np.frombuffer(self.flat, np.uint32).astype("<u4", copy=False)
         for words in split:
-            at = np.fromiter((index[w] for w in words), np.int64, len(words))
+            at = np.array([index[w] for w in words], np.int64)
             n = sizes[at]
             ends = n.cumsum()
             total = int(ends[-1]) if len(ends) else 0
@@ -90,16 +94,21 @@ class Encoder:
 
 
 def _stretches(text: str) -> list[str]:
-    """Stretches between spaces and line feeds; full stops and commas after letters stand alone."""
+    """Stretches between spaces and line feeds; the signs after a word of letters alone are a stretch of their own."""
     if "<|" not in text and _LATIN(text):  # lower case early, for fewer distinct stretches
         text = text.lower()
-    text = text.replace("\n", " ")
-    words = []
-    for w in text.split(" "):
-        if (last := w[-1:]) in (".", ",") and last and w[:-1].isalpha():
-            words += (w[:-1], last)
-        elif w:
-            words.append(w)
+    words: list[str] = []
+    add = words.append
+    for w in text.replace("\n", " ").split(" "):
+        if w[-1:] in _SIGNS:
+            core = w.rstrip(_SIGNS)
+            if core.isalpha():
+                add(core)
+                add(w[len(core) :])
+            elif w:
+                add(w)
+        else:
+            add(w)
     return words
 
 
