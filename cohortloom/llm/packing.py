@@ -18,6 +18,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -93,6 +94,12 @@ class Encoder:
             yield flat[np.repeat(starts[at] - ends + n, n) + np.arange(total)] if total else np.empty(0, "<u4")
 
 
+@lru_cache(maxsize=1)
+def encoder_of(file: str) -> Encoder:
+    """One encoder per Python worker, whose known stretches serve its later tasks too."""
+    return Encoder(file)
+
+
 def _stretches(text: str) -> list[str]:
     """Stretches between spaces and line feeds; the signs after a word of letters alone are a stretch of their own."""
     if "<|" not in text and _LATIN(text):  # lower case early, for fewer distinct stretches
@@ -116,7 +123,7 @@ def pieces(file: str, capacity: int):
     """Per document its pieces with place, length and checksum of the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(file)
+        encoder = encoder_of(file)
         for batch in batches:
             for begin in range(0, len(batch), 1000):
                 ids, texts = batch.column("id").slice(begin, 1000), batch.column("t").slice(begin, 1000).to_pylist()
