@@ -220,10 +220,11 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
                                              F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where(F.col("members") > 1)
     first = nodes.groupBy("members", "x", "y").agg(F.min(F.struct("tree", "key")).alias("at"))
     first = first.select("at.tree", "at.key", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
-    members = cut(spots.join(first, ["tree", "key"]))
+    # Merge joins at every size, so that the plan measured on little data is the plan on much.
+    members = cut(spots.join(first.hint("merge"), ["tree", "key"]))
     wanted = members.select("node").distinct().join(classes.select("node", "rep", "weight", "keys"), "node")
     wanted = cut(wanted)
-    texts = rows.select("id", "t").join(wanted.select(F.col("rep").alias("r")).distinct(), F.col("id").eqNullSafe(F.col("r")), "left_semi")
+    texts = rows.select("id", "t").join(wanted.select(F.col("rep").alias("r")).distinct().hint("merge"), F.col("id").eqNullSafe(F.col("r")), "left_semi")
     # Only classes that have candidates are shingled again.
     full = texts.select("t").where(F.trim("t") != "").mapInPandas(_with_shingles, "node binary, shingles binary")
     full = full.join(wanted.select("node", "weight", "keys"), "node")
