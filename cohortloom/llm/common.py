@@ -42,7 +42,3 @@ def text_key(text: Column) -> list[Column]:
     """Two 64-bit hashes of the whole text: rows with equal texts share them."""
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
 
-
-def wrapped(df: DataFrame, *columns: Column) -> DataFrame:
-    """Every input column inside one struct ``row``, so that names in the input never clash with working columns."""
-    return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"), *columns)

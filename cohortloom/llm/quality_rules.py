@@ -92,8 +92,8 @@ def judged(df: DataFrame, host: str = "source", text: str = "text", max_rate: fl
     The measures are written once to the shared folder (a few numbers per document); texts are not shuffled.
     """
     others = [c for c in df.columns if c != text]
-    measured = cut(measure(df, text).select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), "m",
-                                            F.col(f"`{host}`").alias("host")))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.col(f"`{text}`").alias("t"), F.col(f"`{host}`").alias("host"))
+    measured = cut(measure(rows, "t").select("row", "m", "host"))
     rejected = host_rates(measured, "host").where(F.col("rate") > max_rate).select(
         F.col("host").alias("bad_host"), F.lit(True).alias("bad"))
     out = measured.join(rejected, F.col("host").eqNullSafe(F.col("bad_host")), "left")

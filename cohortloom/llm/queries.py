@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cohortloom.llm import jaccard_forest, licence_index, line_templates, main_text, mixing, neighbour_quality, packing, quality_rules, secret_forest, topk
 from cohortloom.llm.common import table
+from cohortloom.llm.sql import ORACLE
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -78,4 +79,4 @@ QUERIES: dict[str, Query] = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]

@@ -1,0 +1,324 @@
+"""Each operator against brute force on small tables, and the odd cases that its docstring defines."""
+
+import collections
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from cohortloom.llm import (jaccard_forest, licence_index, line_templates, main_text, mixing, neighbour_quality, packing,
+                            quality_rules, secret_forest, topk)
+from cohortloom.llm.queries import ORACLE, QUERIES
+
+SF, TINY = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
+FILE = public_tokenizers.path("word_bpe_49k.json")
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, row int, m int, t int, k1 int, id int, w int, epochs int"
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{TINY}/documents.parquet").collect()}
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in any column, empty and long texts, ties, repeated rows, and names that operators might use."""
+    long = " ".join(f"w{i % 7919}" for i in range(30_000))
+    rows = [(1, "a b c d e f g h " * 30, "en", "s1"), (1, "a b c d e f g h " * 30, "en", "s1"), (2, None, None, None), (None, "x y", "en", None),
+            (3, "", "de", "s1"), (4, long, None, "s2"), (5, " \n\t ", "fr", "s2"), (6, "All rights reserved. CC-BY cc by", "en", "s1")]
+    return spark.createDataFrame([(*r, len(r[1] or ""), 1, 2, 3, 4, 5, 6, 7) for r in rows], DOCS)
+
+
+@pytest.fixture(scope="module")
+def nothing(odd):
+    return odd.where("false")
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = con.execute(ORACLE[name])
+    names = [c[0] for c in want.description]
+    got = QUERIES[name](spark, SF)
+    assert sorted(got.columns) == sorted(names)
+    assert sorted((tuple(r) for r in got.select(*names).collect()), key=repr) == sorted((tuple(r) for r in want.fetchall()), key=repr)
+
+
+def test_quality_rules_odd(odd, nothing):
+    got = quality_rules.judged(odd).select("row.doc_id", "row.m", F.col("m").alias("x"), "kept").collect()
+    assert len(got) == 8 and all(r["m"] == 2 for r in got)
+    by = {r["doc_id"]: r["x"] for r in got}
+    assert by[2]["n_words"] == 0 and by[1]["n_repeat_words"] == 240 and by[4]["n_words"] == 30_000
+    assert quality_rules.judged(nothing).count() == 0
+    kept = quality_rules.keep_good(odd, max_rate=1.0)
+    assert kept.columns == odd.columns and kept.where("doc_id = 1 or doc_id = 2").count() == 0
+    assert quality_rules.keep_good(nothing).count() == 0
+
+
+def test_host_with_many_failures_is_rejected(spark):
+    good = " ".join(f"word{chr(97 + i)}" for i in range(25))
+    rows = [(i, good if i % 20 == 0 else "bad", "en", "low") for i in range(60)] + [(100 + i, good, "en", f"h{i % 6}") for i in range(60)]
+    got = quality_rules.judged(spark.createDataFrame(rows, "doc_id int, text string, lang string, source string"))
+    assert {r["source"] for r in got.where("host_rejected").select("row.source").distinct().collect()} == {"low"}
+    assert got.where("kept").count() == 60
+
+
+def test_mixing_budgets(spark):
+    """Shortages go to siblings first: the domain's other language takes what its small source cannot use."""
+    leaves = spark.createDataFrame([("a", "en", "s", 1000.0), ("a", "de", "s", 10.0), ("b", "en", "s", 1000.0), ("b", "en", "r", 1000.0)],
+                                   "domain string, lang string, source string, tokens double")
+    weights = spark.createDataFrame([("a", None, None, 1.0), ("b", None, None, 3.0), ("b", "en", "r", 4.0)], "domain string, lang string, source string, weight double")
+    got = {(r["domain"], r["lang"], r["source"]): r["share"] for r in mixing.budgets(leaves, weights, 400 / 3010, 1).collect()}
+    assert got == {("a", "en", "s"): 90, ("a", "de", "s"): 10, ("b", "en", "s"): 60, ("b", "en", "r"): 240}
+
+
+def test_mixing_takes_whole_epochs_and_a_prefix(spark, odd, nothing):
+    docs = spark.createDataFrame([(i, "one two three", "en", "big") for i in range(50)] + [(100 + i, "one two", "en", "small") for i in range(5)],
+                                 "doc_id int, text string, lang string, source string")
+    got = mixing.mixed(docs, [F.lit("d"), F.col("lang"), F.col("source")], None, 0.5, 4, 3).select("row.source", "epochs", "id").collect()
+    tokens = collections.Counter()
+    for r in got:
+        tokens[r["source"]] += r["epochs"] * (3 if r["source"] == "big" else 2)
+    # 80 of 160 tokens, 40 to each: small has 10 and gets 4 epochs; big gets 40, of which the last text overlaps.
+    assert tokens == {"small": 40, "big": 42}
+    order = [r[0] for r in docs.where("source = 'big'").orderBy(mixing.place(3, F.lit(0), F.col("doc_id"))).select("doc_id").collect()]
+    assert {r["id"] for r in got if r["source"] == "big"} == set(order[:14])
+    all_rows = mixing.mixed(odd, corpus_pipeline.tree(), None, 9.0, 2)
+    assert all_rows.where("row.epochs = 7 and epochs = 2").count() == all_rows.count() >= 4
+    assert mixing.mixed(nothing, corpus_pipeline.tree()).count() == 0
+
+
+def test_encoder_equals_tokenizer(texts):
+    plain = Tokenizer.from_file(FILE)
+    more = ["", "  ", "a.b. c,,d ... !!! don't it's we'll. 'tis", "<|endoftext|> x <|ENDOFTEXT|>", "İstanbul ΣΑΣ Straße K 12.5,x x\tY\x0bz\x1c.w　q",
+            "été. ́a 한국어 x²", "a\n\n b\r\nc", "ﬁ ß. ẞ. ,. a-b- (a) a) A!! a_ _a"]
+    all_texts = [t or "" for t in texts.values()] + more
+    got = list(packing.Encoder(FILE).encode(all_texts))
+    assert [list(g) for g in got] == [e.ids for e in plain.encode_batch(all_texts, add_special_tokens=False)]
+
+
+def test_packing(spark, texts, odd, nothing):
+    rows = packing.pack(spark.read.parquet(f"{TINY}/documents.parquet"), FILE).collect()
+    plain, seen = Tokenizer.from_file(FILE), collections.defaultdict(list)
+    for doc_id, text in texts.items():
+        ids = np.array([*plain.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        mine = sorted((r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows if r["id"] == doc_id)
+        assert mine == [(k, s, len(ids[s:s + 4096]), zlib.crc32(ids[s:s + 4096].tobytes())) for k, s in enumerate(range(0, len(ids), 4096))]
+    for r in rows:
+        seen[r["sequence_id"]].append((r["offset"], r["length"]))
+    for places in seen.values():
+        end = 0
+        for offset, length in sorted(places):
+            assert offset == end
+            end += length
+        assert end <= 4096
+    assert len(seen) <= -(-sum(r["length"] for r in rows) // 4096) + 1
+    got = packing.pack(odd, FILE, 100).collect()
+    assert sum(r["id"] == 1 for r in got) % 2 == 0 and [r["length"] for r in got if r["id"] == 2] == [1]
+    assert packing.pack(nothing, FILE).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_packed_uses_every_piece_once(seed):
+    rng = np.random.default_rng(seed)
+    counts = np.zeros(65, np.int64)
+    for length in rng.integers(1, 65, rng.integers(1, 400)):
+        counts[length] += rng.integers(1, 5)
+    used = np.zeros(65, np.int64)
+    for times, parts in packing.packed(counts):
+        assert sum(length * k for length, k in parts) <= 64
+        for length, k in parts:
+            used[length] += times * k
+    assert (used == counts).all()
+
+
+def test_exact_complements_are_found():
+    counts = np.zeros(101, np.int64)
+    for length in (70, 20, 10, 60, 40, 50, 30, 15, 5):
+        counts[length] += 1
+    assert sum(t for t, _ in packing.packed(counts)) == 3
+
+
+def test_line_templates(spark, odd, nothing):
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    rows = []
+    for i in range(30):
+        body = [" ".join(word() for _ in range(12)) for _ in range(4)]
+        if i < 12:
+            body.insert(2, f"Posted on day {i} of the month by our editors at noon")
+        rows.append((i, "\n".join(body)))
+    copy = rows[20][1]
+    rows += [(100 + i, copy) for i in range(20)] + [(200 + i, copy.replace(copy.split()[20], word())) for i in range(20)]
+    got = line_templates.without_recurring(spark.createDataFrame(rows, "doc_id int, text string")).select("row.doc_id", "clean", "n_dropped").collect()
+    for r in got:
+        text = dict(rows)[r["doc_id"]]
+        want = "\n".join(line for line in text.split("\n") if not line.startswith("Posted"))
+        assert r["clean"] == want and r["n_dropped"] == (r["doc_id"] < 12)
+    got = line_templates.without_recurring(odd).select("row.*", "clean").collect()
+    assert len(got) == 8 and all(r["clean"] == r["text"] and r["k1"] == 4 - 1 + 1 for r in got)
+    assert line_templates.without_recurring(nothing).count() == 0
+
+
+def _sets(text):
+    words = (text or "").split()
+    n = min(5, len(words))
+    return {tuple(words[i:i + n]) for i in range(len(words) - n + 1)} if n else set()
+
+
+@pytest.mark.parametrize("block", [512, 3])
+def test_jaccard_equals_brute_force(spark, texts, odd, nothing, block):
+    rng = np.random.default_rng(5)
+    base = " ".join(f"t{i}" for i in range(120)).split()
+    rows = dict(texts)
+    for i in range(14):  # a group of near copies, larger than a block
+        words = list(base)
+        for at in rng.integers(0, 120, 1 + i % 3):
+            words[at] = f"n{i}"
+        rows[10_000 + i] = " ".join(words)
+    sets = {d: _sets(t) for d, t in rows.items()}
+    ids, links, root = sorted(sets), collections.Counter(), {d: d for d in sets}
+
+    def top(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for i, a in enumerate(ids):
+        for b in ids[i + 1:]:
+            x, y = sets[a], sets[b]
+            if x and y and min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and len(x & y) >= 0.8 * len(x | y):
+                links[a] += 1
+                links[b] += 1
+                root[max(top(a), top(b))] = min(top(a), top(b))
+    got = jaccard_forest.near_duplicates(spark.createDataFrame(list(rows.items()), "doc_id bigint, text string"), block=block)
+    assert sorted((r["id"], r["class_id"], r["n_links"]) for r in got.collect()) == [(d, top(d), links[d]) for d in ids]
+    if block == 512:
+        found = {r["id"]: r["n_links"] for r in jaccard_forest.near_duplicates(odd).collect()}
+        assert found == {1: 1, 2: 0, None: 0, 3: 0, 4: 0, 5: 0, 6: 0}
+        stay = jaccard_forest.one_of_each(odd)
+        assert stay.columns == odd.columns and sorted(r["doc_id"] or 0 for r in stay.collect()) == [0, 1, 2, 3, 4, 5, 6]
+        assert jaccard_forest.one_of_each(nothing).count() == 0
+
+
+def test_forest_depth():
+    depth = jaccard_forest.matched_prefix(20, 8, 0.8, 0.9999)
+    assert 1 - (1 - 0.8**depth) ** 20 >= 0.9999 > 1 - (1 - 0.8 ** (depth + 1)) ** 20
+
+
+def test_licences(spark, odd, nothing):
+    docs = spark.read.parquet(f"{TINY}/documents.parquet").select("doc_id", "text").union(odd.select("doc_id", "text"))
+    texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want = []
+    for doc_id, text in texts:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        at, labels = [], set()
+        for phrase, label in licence_index.PHRASES.items():
+            p = phrase.split()
+            mine = [i for i in range(len(words)) if words[i:i + len(p)] == p]
+            at += mine
+            labels |= {label} if mine else set()
+        want.append((doc_id, len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels))))
+    got = licence_index.scan(docs).collect()
+    assert sorted(((r["row"]["doc_id"], *r[1:6]) for r in got), key=repr) == sorted(want, key=repr)
+    assert all(set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1 for r in got)
+    by = {r["row"]["doc_id"]: r["labels"].split(",") for r in got}
+    for doc_id, text in texts:
+        for line, label in (("Released under the MIT License.", "mit"), ("Apache License, Version 2.0", "apache-2.0"), ("CC BY-NC 4.0", "cc-by-nc-4.0")):
+            if text and line in text:
+                assert label in by[doc_id]
+    assert licence_index.scan(nothing).count() == 0
+
+
+def test_quality_classifier(spark, odd, nothing):
+    got = QUERIES["op5_quality"](spark, SF)
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    held = [(r["predicted"], labels[r["doc_id"]]) for r in got.where("held_out").collect() if r["doc_id"] in labels]
+    assert len(held) > 40 and np.mean([p == y for p, y in held]) > 0.95
+    known = spark.createDataFrame([(1, 1), (4, 0), (6, None)], "doc_id bigint, quality int")
+    rows = neighbour_quality.quality(odd, known).collect()
+    assert len(rows) == 8 and all(0 <= r["score"] <= 1 for r in rows)
+    assert neighbour_quality.quality(odd, known.where("false")).where("score = 0.5").count() == 8
+    assert neighbour_quality.quality(nothing, known).count() == 0
+
+
+def test_secrets(spark, odd, nothing):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = collections.defaultdict(set)
+    for r in secret_forest.scan(docs).where("is_secret").collect():
+        got[r["id"]].add(r["place"])
+    for doc_id, text in texts.items():
+        words = text.split()
+        want = {i for i, w in enumerate(words) if re.search(r"AKIA[0-9A-Z]{16}|password=[0-9a-f]{16,}|^\"[0-9a-f]{40}\"", w)}
+        assert got[doc_id] == want
+    assert secret_forest.scan(odd).where("is_secret").count() == 0
+    assert secret_forest.scan(nothing).count() == 0
+
+
+def test_main_text(spark):
+    pages = {r["page_id"]: r for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    got = {r["page_id"]: r for r in QUERIES["op7_main_text"](spark, SF).collect()}
+    assert got.keys() == pages.keys()
+    import html
+    for page_id, r in pages.items():
+        article = re.search(r"<article>(.*?)(?:</article>|$)", r["html"], re.S)[1]
+        blocks = [" ".join(html.unescape(re.sub(r"</?b>|<br>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>", article)]
+        assert got[page_id]["text"] == "\n".join(b for b in blocks if b)
+        assert got[page_id]["n_chars"] == len(got[page_id]["text"]) and got[page_id]["url"] == r["url"]
+
+
+def test_main_text_of_odd_pages(spark):
+    page = """<html><head><title>T</title></head><body><header><h1>Site</h1></header><div class="nav-menu"><a href=x>Home</a></div>
+      <div id=cookie-notice>We use cookies</div><div class="post"><h2>Big &amp; small</h2><p>First  para &lt;x&gt; <b>bo</b>ld.<script>var a="<p>no</p>"</script>
+      <p>Second<br>line<!-- hidden --></p><aside>Ad</aside><form>Mail <input></form><ul><li>One<li>Two</ul></div>
+      <div class="comments"><p>Nice!</p></div><footer>(c)</footer>"""
+    rows = [(1, "u", page), (1, "u", page), (None, None, None), (2, "v", ""), (3, "w", "<p>cut off <b>here &am"), (4, "x", "<<p>>no</ p")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "page_id bigint, url string, html string, text int")
+    got = main_text.extract(df).collect()
+    by = {r["page_id"]: r["text"] for r in got}
+    assert len(got) == 6 and by[1] == "Big & small\nFirst para <x> bold.\nSecond line\nOne\nTwo"
+    assert by[None] == by[2] == "" and by[3] == "cut off here &am"
+    assert main_text.extract(df.where("false")).count() == 0
+
+
+def test_top_k_equals_brute_force(spark):
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(size=(400, 40)).round(3)
+    vectors[50:90] = vectors[7]  # ties
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)] + [(20, [0.5] * 40), (500, None), (600, [1.0, None]), (700, [float("nan")] * 40),
+                                                                       (800, [float("inf")] * 40), (None, [1.0] * 40), (900, [2.0, 1.0]), (1000, [1.0, 1.0])]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id bigint, embedding array<double>, v int")
+    got = topk.top_k(df, F.col("id") % 20 == 0, 10, slice_rows=64, block_rows=8).collect()
+    whole = [(i, np.floor(1024 * np.array(v)).astype(int)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    want = []
+    for q in sorted({i for i, _ in whole if i % 20 == 0}):
+        found = [(-int(a @ b), c) for i, a in whole if i == q for c, b in whole if c != q and len(a) == len(b)]
+        want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(sorted(found)[:10])]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+    assert topk.top_k(df.where("false"), F.col("id") % 20 == 0).count() == 0
+
+
+def test_pipeline(spark, nothing):
+    docs, seen = spark.read.parquet(f"{SF}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert name == "packing" or out.columns == docs.columns
+        seen.append({r["doc_id"] for r in out.select("doc_id").collect()})
+        docs = out
+        if name == "mixing":
+            break
+    whole = {r["doc_id"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert whole > seen[0] >= seen[1] > seen[2] > seen[3] and len(seen[3]) > 0.6 * len(whole)
+    empty = nothing
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, SF)
+    assert empty.count() == 0
