@@ -46,7 +46,7 @@ def shingles(text: str | None, cache: dict[str, int]) -> np.ndarray:
     words = text.split() if text else []
     if not words:
         return np.empty(0, np.uint64)
-    if len(cache) > 500_000:
+    if len(cache) > 200_000:
         cache.clear()
     get, known = cache.get, []
     for w in words:

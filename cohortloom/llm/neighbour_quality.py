@@ -29,7 +29,7 @@ WIDTH = WORD_BUCKETS + FORM_BUCKETS + REPEATS
 class Counter:
     """Feature counts of texts; what a word contributes is worked out once per distinct word."""
 
-    def __init__(self, room: int = 500_000) -> None:
+    def __init__(self, room: int = 200_000) -> None:
         self.room = room
         self.index: dict[str, int] = {}
         self.rows: list[tuple[int, int, int]] = []

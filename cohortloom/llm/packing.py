@@ -41,7 +41,7 @@ class Encoder:
     in order; full stops and commas are tokens of their own beside letters. Both are checked in the tests.
     """
 
-    def __init__(self, file: str, room: int = 1_000_000) -> None:
+    def __init__(self, file: str, room: int = 300_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -125,8 +125,8 @@ def pieces(file: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(file)
         for batch in batches:
-            for begin in range(0, len(batch), 1000):
-                ids, texts = batch.column("id").slice(begin, 1000), batch.column("t").slice(begin, 1000).to_pylist()
+            for begin in range(0, len(batch), 250):
+                ids, texts = batch.column("id").slice(begin, 250), batch.column("t").slice(begin, 250).to_pylist()
                 rows: list[tuple] = []
                 for at, tokens in enumerate(encoder.encode([t or "" for t in texts])):
                     tokens = np.append(tokens, np.array([END], "<u4"))
