@@ -144,9 +144,12 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learned(pages: DataFrame, sample: int) -> dict[tuple[str, str], float]:
-    """Share of content per kind and tag, from at most ``sample`` pages with marked content, the first by a hash."""
-    own = pages.where(F.col("html").rlike("(?i)<(article|main)[ >]")).orderBy(F.xxhash64("html")).limit(sample)
-    rows = own.mapInArrow(counted, "kind string, tag string, inside boolean, n bigint").groupBy("kind", "tag").agg(
+    """Share of content per kind and tag, from ``sample`` pages with marked content, the first by a hash."""
+    own = pages.where(F.col("html").rlike("(?i)<(article|main)[ >]")).withColumn("at", F.xxhash64("html"))
+    # Only hashes are sorted; pages themselves stay where they are. Copies of the last page count with it.
+    last = own.select("at").orderBy("at").limit(sample).agg(F.max("at")).first()[0]
+    own = own.where(F.col("at") <= F.lit(last).cast("long"))
+    rows = own.select("html").mapInArrow(counted, "kind string, tag string, inside boolean, n bigint").groupBy("kind", "tag").agg(
         F.sum("n").alias("n"), F.sum(F.when(F.col("inside"), F.col("n")).otherwise(F.lit(0))).alias("inside")).collect()
     return {(r["kind"], r["tag"]): (r["inside"] + 0.5) / (r["n"] + 1) for r in rows}
 
