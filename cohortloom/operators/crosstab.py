@@ -67,7 +67,7 @@ def with_totals(counted: DataFrame, groups: Sequence[str] | None = None, categor
                   *_column_sums(group, groups), F.sum("count").alias(total_column))
              .filter(F.col(total_column).isNotNull()))
     position = Window.orderBy(
-        "__is_total", F.coalesce(level_rank(F.col(category), order or [""]), F.lit(_LAST)),
+        "__is_total", F.coalesce(level_rank(F.col(category), order), F.lit(_LAST)) if order else F.lit(_LAST),
         F.col("__first").asc_nulls_last(), F.col(category).asc_nulls_last())
     columns = ["NA" if g is None else g for g in groups]
     return (table.withColumn("row_number", F.row_number().over(position))

@@ -19,11 +19,6 @@ def planner_would_broadcast(df: DataFrame) -> bool:
     return 0 <= planned_bytes(df) <= conf.autoBroadcastJoinThreshold()
 
 
-def is_broadcast(df: DataFrame) -> bool:
-    """Whether the frame carries a broadcast hint."""
-    return "strategy=broadcast" in df._jdf.queryExecution().analyzed().toString().splitlines()[0]
-
-
 def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Count the rows (one distributed job) and hint accordingly.
 

@@ -14,7 +14,6 @@ from cohortloom.functions.text import remove_all, replace_first
 from cohortloom.operators import cohorts, crosstab, multinomial
 from cohortloom.operators.counts import count_by, count_joined
 from cohortloom.operators.reshape import widen_lists
-from cohortloom.operators.sizing import is_broadcast
 from cohortloom.plans.people import CODES, with_race
 from cohortloom.sources.warehouse import Warehouse, survey_scan
 
@@ -25,15 +24,12 @@ def carrier_data(w: Warehouse, ids: DataFrame,
                  question_ids: Sequence[int]) -> tuple[DataFrame, DataFrame]:
     """Person codes and survey rows of carriers that the availability table knows.
 
-    A broadcast list filters the survey while it is scanned. A longer one is left to the join
-    with the people, which comes after the answers are counted: a semi join here would shuffle
-    all answers of a person to one task.
+    The survey is always filtered by the list, whatever its size; beyond a broadcast, AQE splits
+    the answers of a hot person in the semi join.
     """
     known = cohorts.keep_members(w.availability.select("person_id"), ids)
     people = cohorts.keep_members(w.person.select("person_id", *CODES), ids)
-    answers = survey_scan(w.survey, question_ids, ROW)
-    if is_broadcast(ids):
-        answers = cohorts.keep_members(answers, ids)
+    answers = cohorts.keep_members(survey_scan(w.survey, question_ids, ROW), ids)
     return cohorts.keep_members(people, known), answers
 
 

@@ -59,7 +59,8 @@ def race_counts(w: Warehouse) -> DataFrame:
 
 def death_overlap(w: Warehouse) -> DataFrame:
     """Ids of cohort members with a death record."""
-    return cohorts.ids_in_both(cohorts.flagged(w.availability), w.deaths)
+    members = cohorts.keep_members(cohorts.flagged(w.availability), w.person.select("person_id"))
+    return cohorts.ids_in_both(members, w.deaths)
 
 
 def genotyped(people: DataFrame, w: Warehouse) -> DataFrame:
@@ -68,8 +69,9 @@ def genotyped(people: DataFrame, w: Warehouse) -> DataFrame:
 
 
 def carrier_people(w: Warehouse, ids: DataFrame) -> DataFrame:
-    """Ids of carriers known to the availability table, dead or alive."""
-    return cohorts.keep_members(w.availability.select("person_id"), ids).distinct()
+    """Ids of carriers with a person row that the availability table knows, dead or alive."""
+    known = cohorts.keep_members(w.availability.select("person_id"), ids)
+    return cohorts.keep_members(known, w.person.select("person_id")).distinct()
 
 
 def carrier_cohort(w: Warehouse, ids: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

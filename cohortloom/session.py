@@ -7,20 +7,26 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# AQE coalesces small shuffle partitions and splits the hot ones, so one generous
-# shuffle.partitions value serves both a laptop and a large cluster.
+# AQE merges small shuffle partitions up to the advisory size and splits the hot ones, so a high
+# first number of partitions serves both a laptop and a large cluster.
+INITIAL_PARTITIONS = 8192
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   **extra: str) -> SparkSession:
-    """A session with the settings above; leave ``master`` unset to use the cluster's own."""
+    """A session with the settings above; leave ``master`` unset to use the cluster's own.
+
+    Without ``shuffle_partitions``, AQE starts from ``INITIAL_PARTITIONS``: divide the largest shuffle by
+    the advisory size to choose another.
+    """
     builder = SparkSession.builder.appName("cohortloom")
     if master:
         builder = builder.master(master)
@@ -28,6 +34,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         builder = builder.config(key, value)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    else:
+        builder = builder.config("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(INITIAL_PARTITIONS))
     return builder.getOrCreate()
 
 

@@ -377,8 +377,8 @@ _BODIES = {
     "age_range_count": "SELECT count(*) AS n_18_21 FROM aged WHERE half = 'noncarriers' AND age BETWEEN 18 AND 21",
     "ordered_table_total": _ordered(
         "SELECT answer FROM unrefused WHERE question_concept_id = 1586201",
-        "coalesce((SELECT pos FROM ranks r WHERE r.answer = c.answer AND pos <= 3), 4)",
-        "CASE WHEN answer IN (SELECT answer FROM ranks WHERE pos <= 3) THEN answer END", 5),
+        "coalesce((SELECT pos FROM ranks r WHERE r.answer = c.answer AND pos <= 5), 6)",
+        "CASE WHEN answer IN (SELECT answer FROM ranks WHERE pos <= 5) THEN answer END", 7),
     "plain_table_total": _ordered("SELECT answer FROM unrefused WHERE question_concept_id = 1586207", "1", "answer", 2),
     "answers_by_cohort": f"""SELECT cohort, question, answer, count(*) AS count
         FROM ({_BY_COHORT.format(survey="survey", questions="1586198, 1586201, 1586207, 1586213")}) src GROUP BY ALL""",

@@ -404,7 +404,7 @@ def age_range_count(w):
 
 @query
 def ordered_table_total(w):
-    return tables.ordered_table(answers.question_answers(w, vocab.FREQUENCY), "answer", vocab.FREQUENCY_LEVELS[:3])
+    return tables.ordered_table(answers.question_answers(w, vocab.FREQUENCY), "answer", vocab.FREQUENCY_LEVELS)
 
 
 @query
