@@ -2,16 +2,17 @@
 
 The tree has a fixed depth: the number of tokens of a line, then its leading tokens (those with a digit stand for any
 value). In a leaf of the tree, a token is part of the template where enough lines hold it at that position; every other
-position is a variable field. Lines with equal templates belong together. A template that recurs across documents in
-different surroundings is boilerplate, and all its lines are dropped.
+position is a variable field. Lines with equal templates belong together. A line that recurs across documents is
+boilerplate, wherever it stands, and is dropped from all of them.
 
-A surrounding is the leading tokens of the lines before and after. Exact copies of a document have the same ones, and
-near copies nearly always, so copies do not make their own text look like boilerplate: a template needs at least
-``min_contexts`` surroundings, and at least ``min_share`` of its distinct documents must differ in them.
+Documents are counted by classes: exact copies and near copies (chains of 5-word shingle sets with a Jaccard similarity
+of at least ``similar``) count once, so copies do not make their own text look like boilerplate. A line needs
+``min_classes`` classes that hold it as it is, or its template ``min_varied`` classes.
 
 Defined results: null texts stay null, empty texts stay empty; a text whose lines all go becomes empty. Lines with
-fewer than ``min_tokens`` tokens always stay, as such lines recur by chance. Equal texts get equal results. An empty
-table gives an empty result. All input columns come back; working columns live beside a struct.
+fewer than ``min_tokens`` tokens recur by chance more often: they have no variable fields and need ``min_varied``
+classes. Lines without a letter or digit stay. Equal texts get equal results. An empty table gives an empty result. All
+input columns come back; working columns live beside a struct.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.llm.common import cut, text_key
+from cohortloom.llm.jaccard_forest import near_duplicates
 
 
 def leading(line: Column, n: int) -> Column:
@@ -27,46 +29,52 @@ def leading(line: Column, n: int) -> Column:
     return F.regexp_replace(F.substring_index(F.trim(line), " ", n), r"[^ ]*[0-9][^ ]*", "<*>")
 
 
-def lines_of(df: DataFrame, text: str, lead: int, min_tokens: int) -> DataFrame:
-    """Text key, line number, line, leaf of the tree and surrounding of every line with enough tokens."""
-    df = df.select(F.col(text).cast("string").alias("t")).where(F.col("t").isNotNull())
-    df = df.select(*text_key(F.col("t")), F.split("t", "\n").alias("lines"))
-    near = lambda i: F.coalesce(leading(F.get("lines", i), lead), F.lit("\n"))
-    # The outer form keeps Spark from adding a filter that would split the text again for every line.
-    df = df.select("k1", "k2", F.inline_outer(F.transform("lines", lambda x, i: F.struct(
-        i.alias("line_no"), F.trim(x).alias("line"), F.xxhash64(near(i - 1), near(i + 1)).alias("context")))))
+def classes_of(texts: DataFrame, similar: float) -> DataFrame:
+    """One row per distinct text ``t`` of (id, t): its first id, hashes and class."""
+    found = near_duplicates(texts, "id", "t", threshold=similar)
+    return found.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.min(F.xxhash64("group")).alias("class"))
+
+
+def lines_of(texts: DataFrame, lead: int) -> DataFrame:
+    """Text key, class, line number, line, its number of tokens and its leaf of the tree, of every line with a word."""
+    lines = texts.select("k1", "k2", "class", F.posexplode_outer(F.split("t", "\n")).alias("line_no", "line")).withColumn("line", F.trim("line"))
     n = (F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1)
-    return df.withColumn("n", n).where(F.col("n") >= min_tokens).withColumn(
-        "leaf", F.xxhash64("n", leading(F.col("line"), lead)))
+    return lines.where(F.col("line").rlike(r"[\p{L}\p{N}]")).withColumn("n", n).withColumn("leaf", F.xxhash64("n", leading(F.col("line"), lead)))
 
 
-def recurring_lines(df: DataFrame, text: str = "text", lead: int = 3, min_contexts: int = 5, min_share: float = 0.5,
-                    min_constant: float = 0.7, min_tokens: int = 5) -> DataFrame:
+def recurring_lines(df: DataFrame, text: str = "text", lead: int = 3, min_classes: int = 2, min_varied: int = 5,
+                    min_constant: float = 0.7, min_tokens: int = 5, similar: float = 0.75) -> DataFrame:
     """Distinct (k1, k2, line_no, template) of the lines to drop; k1 and k2 are the hashes of the whole text.
 
-    A leaf with fewer surroundings than a template needs holds none, so only the lines of other leaves are parsed.
+    A leaf with fewer classes than a line needs holds none, so only the lines of other leaves are looked at.
     A template of which less than ``min_constant`` is constant says nothing; its lines count as they are.
     """
-    lines = lines_of(df, text, lead, min_tokens)
-    leaves = lines.groupBy("leaf").agg(F.count_distinct("context").alias("c")).where(F.col("c") >= min_contexts)
-    cand = cut(lines.join(leaves.select("leaf"), "leaf", "left_semi").select("k1", "k2", "line_no", "line", "n", "leaf", "context"))
-    # One row per distinct line from here on: a line that a third of all documents share counts as one row.
-    known = cand.groupBy("leaf", "line", "n").agg(F.count(F.lit(1)).alias("times"))
-    tokens = cut(known.select("leaf", "line", "n", "times", F.posexplode_outer(F.split("line", " ")).alias("pos", "token")))
-    constant = tokens.groupBy("leaf", "pos", "token").agg(F.sum("times").alias("s")).where(F.col("s") >= min_contexts)
+    t = F.col(f"`{text}`").cast("string")
+    texts = cut(df.select(t.alias("t")).where(F.col("t").isNotNull()).withColumn("id", F.monotonically_increasing_id()))
+    lines = lines_of(texts.join(classes_of(texts, similar), "id"), lead)
+    lines = cut(lines)
+    leaves = lines.groupBy("leaf").agg(F.count_distinct("class").alias("in_leaf")).where(F.col("in_leaf") >= min_classes)
+    cand = cut(lines.join(leaves, "leaf"))
+    # One row per distinct line and class from here on, then one per distinct line.
+    held = cut(cand.select("leaf", "line", "n", "in_leaf", "class").distinct())
+    known = held.groupBy("leaf", "line", "n", "in_leaf").agg(F.count(F.lit(1)).alias("classes"))
+    known = cut(known)
+    varied = known.where((F.col("in_leaf") >= min_varied) & (F.col("n") >= min_tokens))
+    tokens = cut(varied.select("leaf", "line", "n", "classes", F.posexplode_outer(F.split("line", " ")).alias("pos", "token")))
+    constant = tokens.groupBy("leaf", "pos", "token").agg(F.sum("classes").alias("s")).where(F.col("s") >= min_varied)
     constant = constant.select("leaf", "pos", "token", F.lit(True).alias("constant"))
     tokens = tokens.join(constant, ["leaf", "pos", "token"], "left")
     field = F.when(F.col("constant"), F.col("token")).otherwise(F.lit("<*>"))
     parsed = tokens.groupBy("leaf", "line", "n").agg(
         F.bit_xor(F.xxhash64("pos", field)).alias("shape"), F.count("constant").alias("n_constant"))
-    template = F.when(F.col("n_constant") >= min_constant * F.col("n"), F.xxhash64("leaf", "shape")).otherwise(F.xxhash64("leaf", "line"))
-    parsed = parsed.select("leaf", "line", template.alias("template"))
-    placed = cut(cand.join(parsed, ["leaf", "line"]).select("k1", "k2", "line_no", "context", "template"))
-    known_docs = placed.select("template", "k1", "k2").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("docs"))
-    contexts = placed.select("template", "context").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("contexts"))
-    found = contexts.where(F.col("contexts") >= min_contexts).join(known_docs, "template").where(
-        F.col("contexts") >= min_share * F.col("docs")).select("template")
-    return placed.join(found, "template", "left_semi").select("k1", "k2", "line_no", "template").distinct()
+    parsed = cut(parsed.where(F.col("n_constant") >= min_constant * F.col("n")).select("leaf", "line", F.xxhash64("leaf", "shape").alias("template")))
+    common = held.join(parsed, ["leaf", "line"]).select("template", "class").distinct().groupBy("template").agg(
+        F.count(F.lit(1)).alias("c")).where(F.col("c") >= min_varied).select("template")
+    least = F.when(F.col("n") >= min_tokens, min_classes).otherwise(min_varied)
+    found = known.where(F.col("classes") >= least).select("leaf", "line", F.xxhash64("leaf", "line").alias("template"))
+    found = found.union(parsed.join(common, "template", "left_semi").select("leaf", "line", "template"))
+    found = found.groupBy("leaf", "line").agg(F.max("template").alias("template"))
+    return cand.join(found, ["leaf", "line"]).select("k1", "k2", "line_no", "template")
 
 
 def without_recurring(df: DataFrame, text: str = "text", **how: float) -> DataFrame:

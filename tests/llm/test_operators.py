@@ -168,6 +168,27 @@ def test_line_templates(spark, odd, nothing):
     assert line_templates.without_recurring(nothing).count() == 0
 
 
+def test_shared_passages_go_and_copies_count_once(spark):
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    line = lambda: " ".join(word() for _ in range(12))
+    passage, rare, held, varied = [line() for _ in range(4)], line(), line(), "Printed by press number {} in our old town hall"
+    rows, want = [], {}
+
+    def add(doc_id, own, *more):
+        rows.append((doc_id, "\n".join([*own[:2], *more, *own[2:]])))
+        want[doc_id] = "\n".join(own)
+
+    for i in range(40):
+        more = passage if i < 8 else [rare] if i < 11 else [held] if i < 13 else [varied.format(i)] if i < 19 else ["Read more"] if i < 25 else []
+        add(i, [line() for _ in range(4)], *more)
+    base = [line() for _ in range(6)]
+    for i in range(1000):  # near copies that hold the line too
+        add(1000 + i, [*base[:5], f"{base[5]} {word()}"], held)
+    got = line_templates.without_recurring(spark.createDataFrame(rows, "doc_id int, text string"))
+    assert {r["doc_id"]: r["clean"] for r in got.select("row.doc_id", "clean").collect()} == want
+
+
 def _sets(text):
     words = (text or "").split()
     n = min(5, len(words))
