@@ -1,9 +1,10 @@
 """Licence scan by a positional index of rare words (operator 4), in DataFrame functions only.
 
-A word's rarity is counted over all documents. For each document the rarest licence words it holds are looked up in the
-templates' postings (template, place in the template); a word at place i of the text proposes that a template starts at
-i minus its place there. Starts that several rare words agree on are verified: the mandatory key phrase must stand at
-its place, and the matched words must carry enough of the template's total rarity.
+A word's rarity is counted over all documents. The rarest different words of each template are its postings (word, place
+in the template), so what else a document holds does not matter. Every occurrence of a posted word at place i of the
+text proposes that a template starts at i minus its place there. Starts that two posted words of a template agree on
+are verified: the mandatory key phrase must stand at its place, and the matched words must carry enough of the
+template's total rarity.
 
 Defined results: a null text is empty. A document without licence words has empty labels and score 0. Repeated rows are
 scanned each. An empty table gives an empty result. Texts are scanned whole; only named columns are read.
@@ -74,44 +75,44 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
-def scan(df: DataFrame, text: str = "text", rare: int = 6, least_rarity: float = 0.7, least_share: float = 0.75) -> DataFrame:
-    """``df`` without its text (struct ``row``), with the counts, places, labels and score of each document.
+def postings_of(idf: dict[str, float]) -> dict[str, list[tuple[str, int]]]:
+    """Per word, the templates and places it is looked up for: the two rarest words of each template's key phrase, which
+    a hit must hold, at all their places in the phrase."""
+    out: dict[str, list[tuple[str, int]]] = {}
+    for name, (text, key) in TEMPLATES.items():
+        words, must = text.split(), key.split()
+        offset = offset_of(words, must)
+        for w in sorted(set(must), key=lambda w: (-idf[w], w))[:2]:
+            for at, x in enumerate(must):
+                if x == w:
+                    out.setdefault(w, []).append((name, offset + at))
+    return out
 
-    ``rare``: how many of a document's rarest licence words are looked up; words in about half of all documents or more
-    (rarity below ``least_rarity``) are never looked up, only compared. Words as rare as the last one looked up count
-    with it, so no tie is cut.
-    """
+
+def offset_of(words: list[str], must: list[str]) -> int:
+    return next(i for i in range(len(words)) if words[i : i + len(must)] == must)
+
+
+def scan(df: DataFrame, text: str = "text", least_share: float = 0.75) -> DataFrame:
+    """``df`` without its text (struct ``row``), with the counts, places, labels and score of each document."""
     idf = rarity(df, text)
     names = [c for c in df.columns if c != text]
-    postings: dict[str, list[tuple[str, int]]] = {}
-    for name, (words, _) in TEMPLATES.items():
-        for at, w in enumerate(words.split()):
-            if idf[w] >= least_rarity:
-                postings.setdefault(w, []).append((name, at))
+    postings = postings_of(idf)
     pair = lambda t, p: F.struct(F.lit(t).alias("template"), F.lit(p).alias("at"))
     out = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), words_of(text_or_empty(text)).alias("w"))
     for n, phrase in enumerate(PHRASES):
         out = out.withColumn(f"p{n}", places("w", phrase))
     rows = ["row", "w", *[f"p{n}" for n in range(len(PHRASES))]]
-    if postings:
-        index = F.create_map(*[x for w, ps in postings.items() for x in (F.lit(w), F.array(*[pair(*p) for p in ps]))])
-        weight = F.create_map(*[x for w in postings for x in (F.lit(w), F.lit(float(idf[w])))])
-        out = out.select(*rows, F.array_intersect("w", F.lit(sorted(postings))).alias("held"))
-        ranked = F.sort_array(F.transform("held", lambda w: F.element_at(weight, w)), asc=False)
-        out = out.select(*rows, "held", F.coalesce(F.get(ranked, F.lit(rare - 1)), F.lit(0.0)).alias("bar"))
-        out = out.select(*rows, F.filter("held", lambda w: F.element_at(weight, w) >= F.col("bar")).alias("anchors"))
-        at = F.filter(F.transform("w", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: F.array_contains("anchors", s["x"]))
-        starts = F.flatten(F.transform(at, lambda s: F.transform(
-            F.element_at(index, s["x"]), lambda p: F.struct(p["template"].alias("template"), (s["i"] - p["at"]).alias("start")))))
-        none = F.array().cast("array<struct<template:string,start:int>>")
-        out = out.select(*rows, F.when(F.size("anchors") > 1, F.sort_array(starts)).otherwise(none).alias("starts"))
-        # Two or more rare words agree on a start: it stands twice in the sorted list.
-        agreed = F.filter("starts", lambda s, k: (F.get("starts", k + 1) == s) & ~(F.get("starts", k - 1).eqNullSafe(s)))
-        out = out.select(*rows, agreed.alias("agreed"))
-        verified = F.transform("agreed", lambda s: F.struct(s["template"].alias("label"), _verified(s, idf).alias("score")))
-        out = out.select(*rows, F.filter(verified, lambda s: s["score"] >= least_share).alias("hits"))
-    else:
-        out = out.select(*rows, F.array().cast("array<struct<label:string,score:double>>").alias("hits"))
+    index = F.create_map(*[x for w, ps in postings.items() for x in (F.lit(w), F.array(*[pair(*p) for p in ps]))])
+    at = F.filter(F.transform("w", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: s["x"].isin(*sorted(postings)))
+    starts = F.flatten(F.transform(at, lambda s: F.transform(
+        F.element_at(index, s["x"]), lambda p: F.struct(p["template"].alias("template"), (s["i"] - p["at"]).alias("start")))))
+    out = out.select(*rows, F.sort_array(starts).alias("starts"))
+    # Both posted words agree on a start: it stands twice or more in the sorted list.
+    agreed = F.filter("starts", lambda s, k: (F.get("starts", k + 1) == s) & ~(F.get("starts", k - 1).eqNullSafe(s)))
+    out = out.select(*rows, agreed.alias("agreed"))
+    verified = F.transform("agreed", lambda s: F.struct(s["template"].alias("label"), _verified(s, idf).alias("score")))
+    out = out.select(*rows, F.filter(verified, lambda s: s["score"] >= least_share).alias("hits"))
     sizes = [F.size(f"p{n}") for n in range(len(PHRASES))]
     all_places = F.concat(*[F.col(f"p{n}") for n in range(len(PHRASES))])
     base = F.filter(F.array(*[F.when(s > 0, F.lit(label)) for s, label in zip(sizes, PHRASES.values())]), lambda x: x.isNotNull())
@@ -128,7 +129,7 @@ def _verified(s: Column, idf: dict[str, float]) -> Column:
     out = F.lit(0.0)
     for name, (text, key) in TEMPLATES.items():
         words, must = text.split(), key.split()
-        offset = next(i for i in range(len(words)) if words[i : i + len(must)] == must)
+        offset = offset_of(words, must)
         total = sum(idf[w] + 0.01 for w in words)
         stands = lambda k, w: F.coalesce(F.get("w", s["start"] + k) == w, F.lit(False))
         keyed = _all([stands(offset + k, w) for k, w in enumerate(must)])

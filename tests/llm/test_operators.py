@@ -259,6 +259,20 @@ def test_licences(spark, odd, nothing):
     assert licence_index.scan(nothing).count() == 0
 
 
+def test_licences_of_long_documents_and_of_several(spark):
+    notices = {name: words for name, (words, _) in licence_index.TEMPLATES.items()}
+    long = " ".join(" ".join(licence_index.VOCABULARY[::-1]) + f" w{i}" for i in range(300))
+    rows = [(0, " x ".join(notices.values())), (1, f"{notices['bsd']} and so on. Released under the MIT License. Licensed under CC BY NC 4.0"),
+            (2, f"{long} {notices['mit']} {long}"), (3, "nothing of that kind")]
+    rows += [(10 + i, f"{words} {long if i % 2 else ''}") for i, words in enumerate(notices.values())]
+    got = {r["row"]["doc_id"]: r for r in licence_index.scan(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    labels = {d: set(r["labels"].split(",")) for d, r in got.items()}
+    assert set(notices) <= labels[0] and labels[1] >= {"bsd", "mit", "cc-by-nc-4.0"} and "mit" in labels[2] and labels[3] == {""}
+    assert all(name in labels[10 + i] for i, name in enumerate(notices))
+    everywhere = spark.createDataFrame([(i, "Released under the MIT License") for i in range(9)], "doc_id int, text string")
+    assert {r["labels"] for r in licence_index.scan(everywhere).collect()} == {"mit"}
+
+
 def test_quality_classifier(spark, odd, nothing):
     got = QUERIES["op5_quality"](spark, SF)
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
