@@ -1,6 +1,8 @@
 """Secret scan with a random forest against false positives (operator 6), in DataFrame functions only.
 
-Candidates are long tokens with digits, found in whole texts. Each has its length, its character classes and the changes
+Candidates are all runs of 12 or more signs of keys with a digit, in whole texts, several per word where it has several,
+and values of four or more signs of any kind that an assignment or a key word stands before, or that are the password in
+a URL. Each has its length, its character classes and the changes
 between them, the share of its letters that dictionary words cover, its document's path, and the words around it. A
 random forest trained on labelled findings turns these into a score. The dictionary is counted over all documents.
 
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.llm.common import WHITE, cut, text_or_empty
 
-FEATURES = ["f_length", "f_digits", "f_upper", "f_lower", "f_changes", "f_distinct", "f_covered", "f_path_depth",
+FEATURES = ["f_length", "f_digits", "f_upper", "f_lower", "f_changes", "f_distinct", "f_signs", "f_covered", "f_path_depth",
             "f_path_test", "f_key_before", "f_key_after", "f_assigned", "f_quoted"]
 # Words that name a secret, paths that hold examples, and formats of providers.
 KEY_WORDS = "key|token|secret|passw|pwd|auth|api|credential|bearer"
@@ -27,19 +29,34 @@ TEST_PATHS = "test|example|sample|doc|fixture|mock"
 PROVIDERS = r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[0-9A-Za-z]{36}$|^xox[abprs]-[0-9A-Za-z-]{10,}$|^sk_(live|test)_[0-9A-Za-z]{16,}$|^AIza[0-9A-Za-z_-]{35}$"
 
 
+STARTS = "AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk_(?:live|test)_|AIza"
+# User and password of a URL; a value that is assigned to a name; a run of signs of keys.
+BEFORE = "\x01"
+MATCH = (r"([A-Za-z][A-Za-z0-9+.-]*)://[^\s:/@]*:([^\s@/]+)@"
+         r"|([A-Za-z_\x01][A-Za-z0-9_.-]*)[\"'`\]]*(?:=>|[=:]+)(?!//)[\"'`\[(]*([^\s\"'`,;&<>(){}\[\]|]{4,})"
+         r"|([A-Za-z0-9_+/-]{12,}={0,2})")
+
+
 def candidates(df: DataFrame, doc_id: str, text: str, path: str) -> DataFrame:
-    """One row per candidate: id, path, place (word from 0), value, and the words before and after."""
+    """One row per candidate: id, path, place (word from 0), nth (candidate of the word, from 0), key, value, and the
+    words before and after. A value after a word that assigns or names a key is read as if it were assigned."""
     words = df.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{path}`").cast("string").alias("path"),
                       F.filter(F.split(text_or_empty(text), WHITE), lambda x: x != "").alias("w"))
+    after_key = lambda i: F.coalesce(F.lower(F.get("w", i - 1)).rlike(f"[=:]$|{KEY_WORDS}"), F.lit(False))
     found = F.filter(F.transform("w", lambda x, i: F.when(
-        (F.length(x) >= 12) & x.rlike("[0-9]") & x.rlike("[A-Za-z0-9_+/-]{12,}"),
-        F.struct(i.alias("place"), x.alias("raw"), F.get("w", i - 1).alias("b1"), F.get("w", i - 2).alias("b2"), F.get("w", i + 1).alias("a1")))),
+        ((F.length(x) >= 12) & x.rlike(f"[0-9]|{STARTS}")) | x.rlike("[=:]") | after_key(i),
+        F.struct(i.alias("place"), x.alias("raw"), F.get("w", i - 1).alias("b1"), F.get("w", i - 2).alias("b2"), F.get("w", i + 1).alias("a1"),
+                 F.when(after_key(i), F.concat(F.lit(f"{BEFORE}="), x)).otherwise(x).alias("read")))),
         lambda s: s.isNotNull())
     rows = words.select("id", "path", F.explode_outer(found).alias("s")).where(F.col("s").isNotNull()).select("id", "path", "s.*")
-    key = F.regexp_extract("raw", r"^([A-Za-z_][A-Za-z0-9_.-]*)[=:]", 1)
-    value = F.regexp_extract(F.expr("substr(raw, length(key) + 1)"), r"([A-Za-z0-9_+/-]{12,}={0,2})", 1)
-    rows = rows.withColumn("key", key).withColumn("value", value).where(F.length("value") >= 12)
-    return rows.select("id", "path", F.col("place").cast("long").alias("place"), "raw", "key", "value", "b1", "b2", "a1")
+    parts = F.arrays_zip(*[F.regexp_extract_all("read", F.lit(MATCH), F.lit(k)).alias(f"m{k}") for k in range(1, 6)])
+    rows = rows.select("id", "path", "place", "raw", "b1", "b2", "a1", F.posexplode_outer(parts).alias("nth", "m")).where(F.col("m").isNotNull())
+    key = F.replace(F.concat("m.m1", "m.m3"), F.lit(BEFORE), F.lit(""))
+    # The signs that end a sentence do not belong to a value.
+    value = F.regexp_replace(F.concat("m.m2", "m.m4", "m.m5"), r"[.,;:?]+$", "")
+    rows = rows.withColumn("key", key).withColumn("value", value).where((F.length("value") >= 4) | (F.col("m.m2") != ""))
+    rows = rows.where((F.col("value") != "") & ((F.col("m.m5") == "") | F.col("raw").rlike(f"[0-9]|{STARTS}"))).withColumn("in_url", F.col("m.m2") != "")
+    return rows.select("id", "path", F.col("place").cast("long").alias("place"), F.col("nth").cast("long").alias("nth"), "raw", "key", "value", "in_url", "b1", "b2", "a1")
 
 
 def dictionary(df: DataFrame, text: str, least: int) -> DataFrame:
@@ -59,9 +76,10 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace("value", "[a-z]", "a"), "[A-Z]", "B"), "[0-9]", "0")
     around = F.lower(F.concat_ws(" ", "key", "b2", "b1"))
     return rows.select(
-        "id", "path", "place", "raw", "key", "value", "b1", "b2", "a1", number(F.length("value")).alias("f_length"), without("[0-9]").alias("f_digits"), without("[A-Z]").alias("f_upper"),
+        "id", "path", "place", "nth", "raw", "key", "value", "in_url", "b1", "b2", "a1", number(F.length("value")).alias("f_length"), without("[0-9]").alias("f_digits"), without("[A-Z]").alias("f_upper"),
         without("[a-z]").alias("f_lower"), number(F.length(F.regexp_replace(kinds, r"(.)\1+", "$1")) - 1).alias("f_changes"),
         number(F.size(F.array_distinct(F.split("value", "")))).alias("f_distinct"),
+        without("[^A-Za-z0-9]").alias("f_signs"),
         (F.coalesce("covered", F.lit(0)) / F.length("value")).cast("double").alias("f_covered"),
         number(F.coalesce(F.size(F.split("path", "/")), F.lit(0))).alias("f_path_depth"),
         number(F.coalesce(F.lower("path").rlike(TEST_PATHS).cast("int"), F.lit(0))).alias("f_path_test"),
@@ -72,10 +90,14 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def known_labels() -> Column:
-    """Labels of findings that need no judge: provider formats and assigned hex values are secrets; addresses of mail
-    and hosts, and numbers without a key word near them, are none. Other findings are not labelled."""
-    secret = F.col("value").rlike(PROVIDERS) | ((F.col("f_key_before") == 1) & (F.col("f_assigned") == 1) & F.col("value").rlike("^[0-9a-f]{16,}$"))
-    harmless = F.col("raw").rlike(r"@|^https?:|^www\.|^[(+]?[0-9][0-9 ().-]*[.,;]?$") | ((F.col("f_key_before") == 0) & (F.col("f_covered") > 0.5))
+    """Labels of findings that need no judge: provider formats, assigned hex values and passwords in URLs are secrets;
+    addresses of mail and hosts, and numbers without a key word near them, and words of the dictionary are none. Other
+    findings are not labelled."""
+    secret = F.col("in_url") | F.col("value").rlike(PROVIDERS) | (
+        (F.col("f_key_before") == 1) & (F.col("f_assigned") == 1) & F.col("value").rlike("^[0-9a-f]{16,}$"))
+    alone = F.col("f_key_before") == 0
+    harmless = (alone & F.col("raw").rlike(r"@|^https?:|^www\.|^[(+]?[0-9][0-9 ().-]*[.,;]?$")) | (alone & (F.col("f_covered") > 0.5)) | (
+        F.col("value").rlike("^[^0-9]*$") & (F.col("f_covered") > 0.8))
     return F.when(secret, 1.0).when(harmless, 0.0)
 
 
@@ -88,7 +110,7 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str =
     """
     found = cut(with_features(cut(candidates(df, doc_id, text, path)), dictionary(df, text, least_documents)))
     known = (found.withColumn("label", known_labels()) if labelled is None else labelled).where(F.col("label").isNotNull())
-    known = known.select(*FEATURES, "label", F.xxhash64("value", "id", "place").alias("at"))
+    known = known.select(*FEATURES, "label", F.xxhash64("value", "id", "place", "nth").alias("at"))
     part = [known.where(F.col("label") == y).orderBy("at", *FEATURES).limit(sample) for y in (0.0, 1.0)]
     train = cut(part[0].union(part[1]).drop("at"))
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
