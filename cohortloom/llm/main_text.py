@@ -6,7 +6,7 @@ their content themselves with an article or main element. One linear scan finds
 it, elements that never are main text (menus, forms, scripts, comments and so on, by name, role or class) are left out.
 
 Defined results: null and empty pages, and pages without words, give an empty text. Cut-off pages and unclosed tags are
-read as far as they go. Repeated rows give repeated results; ids and urls are passed on as they are, null too. Without
+read as far as they go; an element left out ends where HTML ends it, also without its closing tag. Repeated rows give repeated results; ids and urls are passed on as they are, null too. Without
 any labelled page all words count alike and tags cost nothing. An empty table gives an empty result.
 """
 
@@ -38,14 +38,47 @@ toolbar skip pagination pager copyright legal disclaimer contentinfo complementa
 TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)""", re.S)
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+#: What an element costs that a mark is only a part of the name of: about eight words.
+HINT_COST = -8.0
 SPLIT = re.compile(r"[^a-z]+")
 
 
+def names_of(attributes: str) -> list[list[str]]:
+    """The words of every class, id and role, split into their parts."""
+    return [[p for p in SPLIT.split(t) if p] for m in NAMED.finditer(attributes) for t in (m[1] or m[2] or m[3] or "").lower().split()]
+
+
 def marked(attributes: str) -> bool:
-    if not attributes:
-        return False
-    words = {w for m in NAMED.finditer(attributes) for w in SPLIT.split((m[1] or m[2] or m[3] or "").lower())}
-    return not MARKS.isdisjoint(words) or bool(HIDDEN.search(attributes))
+    """Hidden, or a class, id or role that is made of marks only."""
+    return bool(attributes) and (any(ps and MARKS.issuperset(ps) for ps in names_of(attributes)) or bool(HIDDEN.search(attributes)))
+
+
+def hinted(attributes: str) -> bool:
+    """A mark is part of a class, id or role."""
+    return bool(attributes) and any(not MARKS.isdisjoint(ps) for ps in names_of(attributes))
+
+
+# HTML's implied ends: what a start tag closes, and which elements it does not look beyond.
+_LISTS = frozenset("ul ol menu dl table td th section article nav aside form blockquote select button template object figure".split())
+_TABLE, _CELLS, _INNER = frozenset(["table", "template"]), frozenset(["td", "th"]), frozenset("table td th button object template svg math".split())
+CLOSES = {"li": (frozenset(["li"]), _LISTS), "dt": (frozenset(["dt", "dd"]), _LISTS), "dd": (frozenset(["dt", "dd"]), _LISTS),
+          "td": (_CELLS, _TABLE), "th": (_CELLS, _TABLE), "tr": (_CELLS | {"tr"}, _TABLE), "option": (frozenset(["option"]), frozenset(["select", "optgroup"])),
+          "optgroup": (frozenset(["option", "optgroup"]), frozenset(["select"]))}
+CLOSES |= {n: (_CELLS | {"tr", "tbody", "thead", "tfoot", "caption", "colgroup"}, _TABLE) for n in ("tbody", "thead", "tfoot")}
+ENDS_P = frozenset("""address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6
+header hgroup hr li dt dd main menu nav ol p pre search section table ul""".split())
+IN_HEAD = frozenset("title meta link base script style noscript template basefont bgsound noframes head html".split())
+
+
+def close_implied(inner: list[str], name: str) -> None:
+    """Take the elements off ``inner``, the open elements, that a start tag ends."""
+    rules = [CLOSES[name]] if name in CLOSES else []
+    if name in ENDS_P:
+        rules.append((frozenset(["p"]), _INNER))
+    for closed, beyond in rules:
+        stop = next((k for k in range(len(inner) - 1, -1, -1) if inner[k] in beyond), -1)
+        first = next((k for k in range(stop + 1, len(inner)) if inner[k] in closed), len(inner))
+        del inner[first:]
 
 
 def events(page: str) -> Iterator[tuple[str, str, str]]:
@@ -85,27 +118,36 @@ class Reader:
         outside = "out" if marks else "none"
         stack: list[str] = []  # open blocks
         content, link, block = 0, 0, 0
-        dropped, nested = "", 0
+        inner: list[str] = []  # a dropped element and what is open in it
         for kind, name, text in events(page):
-            if dropped:
-                if kind == "open" and name == dropped:
-                    nested += 1
-                elif kind == "close" and name == dropped:
-                    nested -= 1
-                    if not nested:
-                        dropped = ""
-                continue
+            if inner:
+                if inner == ["head"] and (text.strip() if kind == "text" else kind == "open" and name not in IN_HEAD):
+                    inner.clear()
+                elif kind == "open":
+                    close_implied(inner, name)
+                    if inner and name not in VOID:
+                        inner.append(name)
+                elif kind == "close" and name in inner:
+                    while inner.pop() != name:
+                        pass
+                    continue
+                elif kind == "close" and name in stack and _INNER.isdisjoint(inner[1:]):
+                    inner.clear()  # the end of an element around it
+                if inner:
+                    continue
             area = "in" if content else outside
             if kind == "text":
                 self.units.append(("text", (area, "a" if link else stack[-1] if stack else ""), text, block))
                 continue
             if kind == "open" and name not in VOID and name not in ("html", "body", "article", "main") and (
                     (name in DROPPED and not (name == "header" and content)) or marked(text)):
-                dropped, nested = name, 1
+                inner = [name]
                 if name not in INLINE:
                     block += 1
                 self.units.append(("tag", (area, "dropped")))
                 continue
+            if kind == "open" and hinted(text):
+                self.units.append(("tag", (area, "hinted")))
             if name == "a":
                 link = int(kind == "open")
             if name == "br":
@@ -166,7 +208,7 @@ def main_text(page: str | None, share: dict[tuple[str, str], float]) -> str:
         if u[0] == "text":
             value = len(u[2].split()) * (0.01 + of("text", u[1], 1.0))
         else:
-            value = -0.001 - 3.0 * (1 - of("tag", u[1], 1.0)) if u[1][1] != "dropped" else -0.5 if u[1][0] == "none" else -0.001
+            value = HINT_COST if u[1][1] == "hinted" else -0.001 - 3.0 * (1 - of("tag", u[1], 1.0)) if u[1][1] != "dropped" else -0.5 if u[1][0] == "none" else -0.001
         if total <= 0:
             total, begin = 0.0, at
         total += value

@@ -337,6 +337,22 @@ def test_main_text_of_odd_pages(spark):
     assert main_text.extract(df.where("false")).count() == 0
 
 
+def test_main_text_where_end_tags_are_left_out():
+    read = lambda page: main_text.main_text(page, {})
+    story = "one two three four five six seven eight nine ten eleven twelve"
+    assert read(f"<html><head><title>T</title><meta x><body><p>{story}") == story
+    assert read(f"<html><head><title>T</title><p>{story}") == story
+    assert read(f"<body><p class=ad>x<p>{story}<div>{story}</div>") == f"{story}\n{story}"
+    assert read(f"<ul><li class=share>x<b>y</b><li>{story}</ul>") == story
+    assert read(f"<div><ul><li class=share>x</ul><p>{story}</p></div>") == story
+    assert read(f"<table><tr><td class=ad>x<td>{story}<tr class=ad><td>x<tr><td>{story}</table>") == f"{story}\n{story}"
+    assert read(f"<dl><dt class=ad>x<dd>{story}</dl><nav><ul><li>x<li>y</ul></nav><p>{story}") == f"{story}\n{story}"
+    assert read(f"<div class=ad><div>x</div><p>y</div><p>{story}") == story
+    for name in ("class='content no-sidebar'", "class=has-sidebar", "class=with-comments", "class=post-header", "id=related-work", "class=legal-text"):
+        assert read(f"<body><div {name}><h1>Title</h1><p>{story}</p></div>") == f"Title\n{story}"
+        assert read(f"<article><div {name}><h1>Title</h1></div><p>{story}</p></article>") == f"Title\n{story}"
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(9)
     vectors = rng.normal(size=(400, 40)).round(3)
