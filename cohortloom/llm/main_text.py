@@ -2,7 +2,8 @@
 
 A page is a sequence of words and tags. Words score positive, by how often words in their surroundings are content;
 tags score negative, by how often they stand outside of it. Both weights are counted on labelled pages: pages that mark
-their content themselves with an article or main element. One linear scan finds the stretch with the highest sum. Inside
+their content themselves with an article or main element that is not named as a comment or advert; on those pages the
+mark decides, not the weights. One linear scan finds the stretch with the highest sum. Inside
 it, elements that never are main text (menus, forms, scripts, comments and so on, by name, role or class) are left out.
 
 Defined results: null and empty pages, and pages without words, give an empty text. Cut-off pages and unclosed tags are
@@ -114,10 +115,11 @@ class Reader:
 
     def __init__(self, page: str) -> None:
         self.units: list[tuple] = []
-        marks = re.search(r"<(article|main)\b", page, re.I)
+        marks = any(not (hinted(m[2]) or marked(m[2])) for m in re.finditer(r"<(article|main)\b([^>]*)", page, re.I))
         outside = "out" if marks else "none"
         stack: list[str] = []  # open blocks
-        content, link, block = 0, 0, 0
+        link, block = 0, 0
+        holds: list[bool] = []  # open article and main elements: whether they mark content
         inner: list[str] = []  # a dropped element and what is open in it
         for kind, name, text in events(page):
             if inner:
@@ -135,11 +137,12 @@ class Reader:
                     inner.clear()  # the end of an element around it
                 if inner:
                     continue
+            content = any(holds)
             area = "in" if content else outside
             if kind == "text":
                 self.units.append(("text", (area, "a" if link else stack[-1] if stack else ""), text, block))
                 continue
-            if kind == "open" and name not in VOID and name not in ("html", "body", "article", "main") and (
+            if kind == "open" and name not in VOID and name not in ("html", "body") and (
                     (name in DROPPED and not (name == "header" and content)) or marked(text)):
                 inner = [name]
                 if name not in INLINE:
@@ -157,7 +160,10 @@ class Reader:
             elif name not in INLINE:
                 block += 1
                 if name in ("article", "main"):
-                    content = max(0, content + (1 if kind == "open" else -1))
+                    if kind == "open":
+                        holds.append(not hinted(text))  # comments and adverts can be articles too
+                    elif holds:
+                        holds.pop()
                 if kind == "open" and name not in VOID:
                     if name in ("p", "li") and stack and stack[-1] == name:
                         stack.pop()

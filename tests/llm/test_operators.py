@@ -353,6 +353,14 @@ def test_main_text_where_end_tags_are_left_out():
         assert read(f"<article><div {name}><h1>Title</h1></div><p>{story}</p></article>") == f"Title\n{story}"
 
 
+def test_articles_that_are_comments_or_adverts_mark_nothing():
+    story = "one two three four five six seven eight nine ten eleven twelve " * 3
+    for name in ("comment-body", "comment", "promo teaser"):
+        got = main_text.main_text(f"<body><div><p>{story}</p></div><article class='{name}'><p>Nice</p></article>", {})
+        assert got == story.strip()
+    assert main_text.main_text(f"<article><p>{story}</p><article class=comment><p>Nice</p></article></article><p>x", {}) == story.strip()
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(9)
     vectors = rng.normal(size=(400, 40)).round(3)
