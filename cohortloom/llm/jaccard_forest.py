@@ -1,9 +1,9 @@
 """Similarity join on word shingles by a MinHash LSH forest (operator 8).
 
 Documents are sets of 5-word shingles. Equal sets are one class, which only its representative stands for. Each class
-has a signature for every tree of the forest; its sorted prefix trie is held as the prefix's key, and classes below the
-same node of a trie are candidates. The matched prefix starts at full depth and is shortened by one value at a time
-until the chance that two sets at the threshold meet in some tree reaches the target recall.
+has a signature for every tree of the forest; classes with equal signatures in a tree are candidates. All signatures have
+one fixed depth (banding): the longest at which the chance that two sets at the threshold meet in some tree reaches the
+target recall. No longer or shorter prefix is matched.
 
 Candidates are verified exactly. A node of the trie is one group, larger ones are cut into blocks of members and every
 pair of blocks is a group of its own: no task holds more than two blocks, and no pair leaves the task. A group returns
