@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cohortloom.llm import jaccard_forest, licence_index, line_templates, main_text, mixing, neighbour_quality, packing, quality_rules, secret_forest, topk
+from cohortloom.llm import (decontaminate, filter_audit, jaccard_forest, licence_index, line_templates, main_text, merkle, mixing,
+                            neighbour_quality, packing, quality_rules, secret_forest, topk)
 from cohortloom.llm.common import table
 from cohortloom.llm.sql import ORACLE
 
@@ -65,6 +66,34 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("row.doc_id", *[f"m.{c}" for c in quality_rules.MEASURES], "base_failed", "kept", "host_rejected")
 
 
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    got = decontaminate.decontaminate(docs, items)
+    return got.select("row.doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                      (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, subroot, root and proof; the root again from its leaf, tampered with where 3 divides crc32."""
+    docs = table(spark, sf_dir, "documents")
+    upper = "".join(map(chr, range(65, 91)))
+    changed = [F.translate("text", upper, upper.lower()) if c == "text" else F.col(c) for c in merkle.FIELDS]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, merkle.leaf(changed))
+    got = merkle.manifest(docs, tampered=tampered).withColumn("folded_root", merkle.fold(F.coalesce("tampered", "leaf"), F.col("path")))
+    return got.select("row.doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), "folded_root",
+                      (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders of the five filters, from a stream over the files of the documents in four to eight micro-batches."""
+    path = f"{sf_dir}/documents.parquet"
+    docs = spark.read.parquet(path)
+    files = max(1, len(docs.inputFiles()) // 4)
+    # A pattern, since a stream's plain path must be a folder and the table may be one file.
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", files).parquet(f"{sf_dir}/documents.parque[t]")
+    return filter_audit.audit(filter_audit.counters(stream, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
@@ -76,6 +105,9 @@ QUERIES: dict[str, Query] = {
     "op7_main_text": op7_main_text,
     "op9_topk": op9_topk,
     "op10_quality_rules": op10_quality_rules,
+    "op11_decontaminate": op11_decontaminate,
+    "op12_merkle": op12_merkle,
+    "op13_filter_audit": op13_filter_audit,
     "pipeline": corpus_pipeline.run,
 }
 
