@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,23 +36,44 @@ def export_csv(df: DataFrame, path: str, rows_per_shard: int = 2_000_000) -> str
     return f"{path}/*.csv"
 
 
+def by_line_breaks(spark: SparkSession, glob: str) -> tuple[str | list[str], list[str]]:
+    """The shards without a quoted line break (the glob itself, if that is all of them) and those with one.
+
+    A record that is broken inside a field has an odd number of quotes on its first line. The
+    lines are counted where they lie; only names of shards come to the driver.
+    """
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    shards = (spark.read.text(glob).groupBy("_metadata.file_path")
+              .agg(F.max(quotes % 2).alias("broken")).orderBy("file_path").collect())
+    broken = [unquote(name) for name, odd in shards if odd]
+    return ([unquote(name) for name, odd in shards if not odd] if broken else glob), broken
+
+
 def read_csv_shards(spark: SparkSession, glob: str,
                     schema: str | T.StructType | None = None,
                     overrides: Mapping[str, str] | None = None,
                     all_text: Sequence[str] | bool = False,
                     na_tokens: Sequence[str] = tuple(vocab.NA_TOKENS),
-                    multiline: bool = False) -> DataFrame:
+                    multiline: bool | None = None) -> DataFrame:
     """Read every shard as one distributed scan.
 
     ``schema``      full schema; the right choice for large data, as nothing is scanned twice.
     ``overrides``   types for some columns, the rest inferred over the whole glob (one extra
                     pass); names that no shard has only warn.
     ``all_text``    every column as text; pass the column names to avoid reading a header.
-    Empty fields and NA tokens become NULL. ``multiline`` keeps quoted line breaks whole, at
-    the price of one task per shard; without it, shards are split however large they are.
+    Empty fields and NA tokens become NULL. A quoted line break keeps its record whole: shards that
+    have any are found by a pass over the lines and read by one task each, all others are split
+    however large they are. ``multiline`` skips that pass: False where no field has a line break,
+    True to read every shard by one task.
     """
-    reader = (spark.read.options(**_DIALECT).option("multiLine", str(multiline).lower())
+    reader = (spark.read.options(**_DIALECT)
               .option("ignoreLeadingWhiteSpace", "true").option("ignoreTrailingWhiteSpace", "true"))
+    if multiline is None:
+        split, whole = by_line_breaks(spark, glob)
+    else:
+        split, whole = ([], glob) if multiline else (glob, [])
+    glob = split or whole
+    reader = reader.option("multiLine", str(not split).lower())
     if schema is not None:
         wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     elif all_text is not False:
@@ -66,7 +88,10 @@ def read_csv_shards(spark: SparkSession, glob: str,
 
     # Typed columns go through text, so that an NA token is NULL and not a parse failure.
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in wanted])
-    raw = reader.option("inferSchema", "false").schema(text).csv(glob)
+    reader = reader.option("inferSchema", "false").schema(text)
+    raw = reader.csv(glob)
+    if split and whole:
+        raw = raw.unionByName(reader.option("multiLine", "true").csv(whole))
     return raw.select(*[
         na_to_null(F.col(_quoted(f.name)), na_tokens).try_cast(f.dataType).alias(f.name) for f in wanted])
 
