@@ -108,12 +108,9 @@ def subgroup_crosstab(w: Warehouse, ids: DataFrame, with_variant: bool = True) -
 def chart_data(counted: DataFrame, question_group: str = "Frequency") -> DataFrame:
     """Share of each answer inside each subgroup's bar, for one question group.
 
-    Takes ``subgroup_cells``. Empty cells are part of the chart data, so the counts go through
-    the wide form and back.
+    Takes ``subgroup_cells``. Empty cells are part of the chart data.
     """
-    counted, groups = crosstab.with_group_columns(counted, "race_ethnicity", None)
-    long = crosstab.long_counts(crosstab.wide(counted, groups), groups)
-    split = crosstab.split_category(long).filter(F.col("question_group") == question_group)
+    split = crosstab.split_category(crosstab.filled(counted)).filter(F.col("question_group") == question_group)
     return crosstab.bar_shares(split)
 
 
