@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -61,17 +62,43 @@ def category_by_wording(question: Column, answer: Column,
         paste("Other:", answer))
 
 
-def level_rank(value: Column, levels: Sequence[str]) -> Column:
+@dataclass(frozen=True)
+class LevelsBy:
+    """A level list for each value of another column, for tables of several questions."""
+
+    column: str
+    lists: Mapping[int | str, Sequence[str]]
+
+    def each(self, make: Callable[[Sequence[str]], Column]) -> Column:
+        """``make`` of the list that belongs to the row; NULL where none does."""
+        return first_match((F.col(self.column) == key, make(levels)) for key, levels in self.lists.items())
+
+
+Levels = Sequence[str] | LevelsBy
+
+
+def level_rank(value: Column, levels: Levels) -> Column:
     """Position in the level list starting at 1; NULL when missing or unlisted."""
+    if isinstance(levels, LevelsBy):
+        return levels.each(lambda own: level_rank(value, own))
     position = F.array_position(F.array(*[F.lit(x) for x in levels]), value).cast("int")
     return F.when(value.isin(list(levels)), position)
 
 
-def as_level(value: Column, levels: Sequence[str]) -> Column:
+def as_level(value: Column, levels: Levels) -> Column:
     """The value when it is one of the levels, else NULL."""
+    if isinstance(levels, LevelsBy):
+        return levels.each(lambda own: as_level(value, own))
     return F.when(value.isin(list(levels)), value)
 
 
+def level_count(levels: Levels) -> Column:
+    """How many levels the list has."""
+    if isinstance(levels, LevelsBy):
+        return F.coalesce(levels.each(lambda own: F.lit(len(own))), F.lit(0))
+    return F.lit(len(levels))
+
+
 def drinking_outcome(lifetime: Column, frequency: Column) -> Column:
     """Regression outcome: abstainers of either kind, else the frequency answer, else NULL."""
     return first_match([

@@ -8,40 +8,33 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.operators.sizing import MAX_BROADCAST_ROWS, planner_would_broadcast
-
-_SALT_BUCKETS = 64
+#: More codes than this are no lookup for ``few_codes``; the list of names is then a table, not a value.
+MAX_CODES = 10_000
 
 
 def lookup_names(df: DataFrame, lookup: DataFrame, roles: Mapping[str, str], key: str, value: str,
-                 spread_by: str, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Left-join one lookup table once per role; adds a column per role.
-
-    Lookup keys are few and hot (one code can hold a third of the rows), so the big side must
-    not be shuffled on them. A lookup within the session's broadcast threshold is left to the
-    planner. A larger one is first cut down to the keys in use and counted; if even that is
-    too much, the join is salted: ``spread_by`` picks one of the copies of each lookup row.
+                 codes: DataFrame, few_codes: bool = True) -> DataFrame:
+    """Left-join one lookup table once per role; adds a column per role. Codes are unique in the lookup.
+
+    Lookup codes are few and hot (one code can hold a third of the rows), so the big side should not
+    be shuffled on them. ``codes`` is a base table with the roles' columns: the names of the codes
+    it uses become one map, a scalar subquery, and every role reads it where the rows lie. ``df`` is
+    scanned once, whatever the roles, and planning runs no job. More than ``MAX_CODES`` codes are an
+    error; with ``few_codes`` off the lookup is an ordinary join per role, which AQE turns into a
+    broadcast by the measured size or splits at hot codes.
     """
-    small = lookup.select(F.col(key).alias("__key"), F.col(value).alias("__name"))
-    salted = False
-    if not planner_would_broadcast(small):
-        used = (df.select(F.explode(F.array(*[F.col(c).cast("bigint") for c in roles.values()])).alias("__used"))
-                  .distinct())
-        small = small.join(used, F.col("__key") == F.col("__used"), "left_semi")
-        salted = small.count() > max_rows
-        small = small if salted else F.broadcast(small)
-
-    if salted:
-        small = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(_SALT_BUCKETS - 1))))
-        df = df.withColumn("__salt", F.pmod(F.xxhash64(spread_by), F.lit(_SALT_BUCKETS)).cast("int"))
-    for role, column in roles.items():
-        side = small.select(F.col("__key").alias("__k"), F.col("__name").alias(role),
-                            *([F.col("__salt").alias("__s")] if salted else []))
-        on = F.col(column) == F.col("__k")
-        if salted:
-            on = on & (F.col("__salt") == F.col("__s"))
-        df = df.join(side, on, "left").drop("__k", "__s")
-    return df.drop("__salt")
+    small = lookup.select(F.col(key).cast("bigint").alias("__key"), F.col(value).alias("__name")).filter(F.col("__key").isNotNull())
+    if not few_codes:
+        for role, column in roles.items():
+            df = df.join(small.select(F.col("__key").alias("__k"), F.col("__name").alias(role)), F.col(column) == F.col("__k"), "left").drop("__k")
+        return df
+    used = codes.select(F.explode(F.array(*[F.col(c).cast("bigint") for c in roles.values()])).alias("__key")).distinct()
+    too_many = F.raise_error(F.lit(f"more than {MAX_CODES} codes in use: pass few_codes=False"))
+    entries = F.collect_list(F.struct("__key", "__name"))
+    names = (small.join(used, "__key", "left_semi")
+                  .agg(F.map_from_entries(F.when(F.count(F.lit(1)) <= MAX_CODES, entries).otherwise(too_many))).scalar())
+    df = df.withColumn("__names", names)
+    return df.withColumns({role: F.try_element_at("__names", F.col(c).cast("bigint")) for role, c in roles.items()}).drop("__names")
 
 
 def suffix_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left",

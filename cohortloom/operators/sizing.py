@@ -8,17 +8,6 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_ROWS = 1_000_000
 
 
-def planned_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan; costs no job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def planner_would_broadcast(df: DataFrame) -> bool:
-    """Whether the estimate is within the session's own broadcast threshold."""
-    conf = df.sparkSession._jsparkSession.sessionState().conf()
-    return 0 <= planned_bytes(df) <= conf.autoBroadcastJoinThreshold()
-
-
 def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Count the rows (one distributed job) and hint accordingly.
 

@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom import vocab
-from cohortloom.functions.labels import as_level, level_rank
+from cohortloom.functions.labels import Levels, as_level, level_count, level_rank
 from cohortloom.functions.numeric import count_with_percent, fixed2, percent, round2
 from cohortloom.functions.predicates import not_listed
 from cohortloom.operators.counts import count_by, total_of, with_percent
 
 
-def group_distribution(df: DataFrame, key: str, levels: Sequence[str] | None = None) -> DataFrame:
+def group_distribution(df: DataFrame, key: str, levels: Levels | None = None) -> DataFrame:
     """People per group with the share of the whole cohort, rounded to two decimals.
 
     The missing group is a row of its own and part of the total. In level order, unlisted
@@ -23,7 +23,7 @@ def group_distribution(df: DataFrame, key: str, levels: Sequence[str] | None = N
     return distribution_of(count_by(df, key, name="n_people"), key, levels)
 
 
-def distribution_of(counts: DataFrame, key: str, levels: Sequence[str] | None = None) -> DataFrame:
+def distribution_of(counts: DataFrame, key: str, levels: Levels | None = None) -> DataFrame:
     """The same from people already counted in a column ``n_people``."""
     table = counts.withColumn("percent", round2(percent(F.col("n_people"), total_of(counts, "n_people"))))
     if levels is None:
@@ -31,7 +31,7 @@ def distribution_of(counts: DataFrame, key: str, levels: Sequence[str] | None =
     return table.orderBy(level_rank(F.col(key), levels).asc_nulls_last(), F.asc(key))
 
 
-def ordered_table(df: DataFrame, answer: str = "answer", levels: Sequence[str] | None = None,
+def ordered_table(df: DataFrame, answer: str = "answer", levels: Levels | None = None,
                   refusals: Sequence[str] = tuple(vocab.REFUSALS), by: Sequence[str] = ()) -> DataFrame:
     """Count, two-decimal percent text and a Total row, refusals left out.
 
@@ -41,7 +41,7 @@ def ordered_table(df: DataFrame, answer: str = "answer", levels: Sequence[str] |
     return ordered_from_counts(counts, answer, levels, by)
 
 
-def ordered_from_counts(counts: DataFrame, answer: str = "answer", levels: Sequence[str] | None = None,
+def ordered_from_counts(counts: DataFrame, answer: str = "answer", levels: Levels | None = None,
                         by: Sequence[str] = ()) -> DataFrame:
     """The same from answers already counted in a column ``count``.
 
@@ -58,17 +58,17 @@ def ordered_from_counts(counts: DataFrame, answer: str = "answer", levels: Seque
     else:  # an ungrouped aggregate has its row, a total of 0, even without any answers
         table = (shares.withColumn("__total", F.lit(False))
                  .unionByName(shares.agg(*sums).withColumns({answer: F.lit(None).cast("string"), "__total": F.lit(True)})))
-    rank, label, last = F.lit(1), F.col(answer), 2
+    rank, label, last = F.lit(1), F.col(answer), F.lit(2)
     if levels is not None:
-        rank = F.coalesce(level_rank(F.col(answer), levels), F.lit(len(levels) + 1))
-        label, last = as_level(F.col(answer), levels), len(levels) + 2
+        rank = F.coalesce(level_rank(F.col(answer), levels), level_count(levels) + 1)
+        label, last = as_level(F.col(answer), levels), level_count(levels) + 2
     return (table.select(*by, F.when(is_total, last).otherwise(rank).alias("row_order"),
                          F.when(is_total, "Total").otherwise(label).alias(answer),
                          "count", fixed2(F.col("percent")).alias("percent"))
                  .orderBy(*by, "row_order", answer))
 
 
-def stratified_np(df: DataFrame, group: str, answer: str, levels: Sequence[str] | None = None,
+def stratified_np(df: DataFrame, group: str, answer: str, levels: Levels | None = None,
                   by: Sequence[str] = ()) -> DataFrame:
     """``n (p%)`` per group and answer, the percent taken inside the group.
 
@@ -80,7 +80,7 @@ def stratified_np(df: DataFrame, group: str, answer: str, levels: Sequence[str]
     return np_from_counts(count_by(df, *by, group, answer, name="count"), group, answer, levels, by)
 
 
-def np_from_counts(counts: DataFrame, group: str, answer: str, levels: Sequence[str] | None = None,
+def np_from_counts(counts: DataFrame, group: str, answer: str, levels: Levels | None = None,
                    by: Sequence[str] = ()) -> DataFrame:
     """The same from levels already counted in a column ``count``."""
     shares = with_percent(counts, "count", [*by, group])

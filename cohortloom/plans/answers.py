@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom import vocab
-from cohortloom.functions.labels import as_level, collapse
+from cohortloom.functions.labels import LevelsBy, as_level, collapse
 from cohortloom.functions.predicates import is_answered, not_listed
 from cohortloom.operators import cohorts
 from cohortloom.operators.counts import count_by, count_joined, with_percent
+from cohortloom.operators.member_filter import maybe_members
 from cohortloom.operators.tables import np_from_counts, ordered_from_counts
 from cohortloom.plans.people import flagged_cohort, initial_cohort, one_group
 from cohortloom.sources.warehouse import Warehouse, survey_scan
@@ -52,7 +53,8 @@ def cohort_question_tables(w: Warehouse, ids: DataFrame) -> DataFrame:
     """Ordered tables with Total of the frequency and the quantity question, four cohorts each."""
     counts = answers_by_cohort(w, ids, [vocab.FREQUENCY, vocab.QUANTITY])
     kept = counts.filter(not_listed(F.col("answer")))
-    return ordered_from_counts(kept, "answer", [*vocab.FREQUENCY_LEVELS, *vocab.QUANTITY_LEVELS],
+    levels = {vocab.FREQUENCY: vocab.FREQUENCY_LEVELS, vocab.QUANTITY: vocab.QUANTITY_LEVELS}
+    return ordered_from_counts(kept, "answer", LevelsBy("question", {vocab.QUESTION_NAMES[q]: own for q, own in levels.items()}),
                                by=["cohort", "question"])
 
 
@@ -61,7 +63,7 @@ def race_group_answers(w: Warehouse, levels: Mapping[int, Sequence[str]],
     """``n (p%)`` of each listed question per race group, of people who answered it."""
     answers = survey_scan(w.survey, list(levels), ("person_id", "question_concept_id", "answer"))
     kept = answers.filter(not_listed(F.col("answer"), vocab.REFUSALS_AND_BLANKS) & is_answered(F.col("answer")))
-    order = [level for listed in levels.values() for level in listed]
+    order = LevelsBy("question_concept_id", levels)
     kept = kept.withColumn("answer", as_level(F.col("answer"), order))
     people = initial_cohort(w).filter(F.col("race_ethnicity").isin(list(groups)))
     counts = count_joined(kept, people, ["question_concept_id", "answer"], ["race_ethnicity"])
@@ -76,20 +78,26 @@ def single_subgroup(w: Warehouse) -> DataFrame:
 def subgroup_members(w: Warehouse, ids: DataFrame) -> DataFrame:
     """``person_id``, ``half``, ``subgroup`` of group members who named exactly one subgroup."""
     members = one_group(halves(w, ids)).select("person_id", "half")
-    named = single_subgroup(w).withColumnRenamed("answer", "subgroup")
+    asked = maybe_members(question_answers(w, vocab.SUBGROUP), members, "person_id")
+    named = cohorts.single_row_groups(asked).withColumnRenamed("answer", "subgroup")
     return members.join(named, "person_id", "left").filter(F.col("subgroup").isNotNull())
 
 
 def subgroup_answers(w: Warehouse, ids: DataFrame, question_id: int, levels: Sequence[str],
                      collapsed: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
-    """``n (p%)`` of one question per subgroup, both halves; levels may be collapsed first."""
+    """``n (p%)`` of one question per subgroup, both halves; levels may be collapsed first.
+
+    The members are a few percent of all people: a bit table of their ids keeps other people's
+    answers out of the counting and its shuffle.
+    """
     answer = F.col("answer")
     kept = question_answers(w, question_id).filter(
         not_listed(answer, vocab.REFUSALS_AND_BLANKS) & answer.isNotNull())
     if collapsed is not None:
         kept = kept.withColumn("answer", collapse(answer, collapsed))
     kept = kept.withColumn("answer", as_level(answer, levels))
-    counts = count_joined(kept, subgroup_members(w, ids), ["answer"], ["half", "subgroup"])
+    members = subgroup_members(w, ids)
+    counts = count_joined(maybe_members(kept, members, "person_id"), members, ["answer"], ["half", "subgroup"])
     return np_from_counts(counts, "subgroup", "answer", levels, by=["half"])
 
 

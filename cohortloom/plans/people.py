@@ -7,8 +7,9 @@ every report: its size is then counted once.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom import vocab
@@ -116,7 +117,7 @@ def sex_distribution(people: DataFrame, w: Warehouse) -> DataFrame:
     ``people`` carries ``SEX``. Counted per code, so the lookup joins a handful of rows.
     """
     per_code = count_by(people, SEX, name="n_people")
-    named = lookup_names(per_code, w.concept, {"sex_at_birth": SEX}, "concept_id", "concept_name", spread_by=SEX)
+    named = lookup_names(per_code, w.concept, {"sex_at_birth": SEX}, "concept_id", "concept_name", w.person)
     label = keep_or_other(F.col("sex_at_birth")).alias("sex_at_birth")
     return distribution_of(named.groupBy(label).agg(F.sum("n_people").alias("n_people")), "sex_at_birth")
 
@@ -142,19 +143,45 @@ def race_breakdown(w: Warehouse, ids: DataFrame) -> DataFrame:
             .agg(half(1).alias("with_variant"), half(0).alias("without_variant")))
 
 
+def everybody(w: Warehouse, ids: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Every person with ``race_ethnicity`` and flags: ``known`` to the availability table, ``member`` of the
+    cohort, ``carrier``. The four person-level tables are read once each and joined on one key."""
+    flag = reduce(Column.__or__, [F.col(f) == 1 for f in vocab.DATA_FLAGS])
+    known = w.availability.groupBy("person_id").agg(F.lit(True).alias("known"), F.bool_or(F.coalesce(flag, F.lit(False))).alias("__flagged"))
+    dead = w.deaths.select("person_id").distinct().withColumn("__dead", F.lit(True))
+    listed = ids.select("person_id").distinct().withColumn("carrier", F.lit(True))
+    people = with_race(w.person.select("person_id", *CODES, *keep))
+    for table in (known, dead, listed):
+        people = people.join(table, "person_id", "left")
+    no = F.lit(False)
+    return people.select("person_id", "race_ethnicity", *keep, F.coalesce("known", no).alias("known"), F.coalesce("carrier", no).alias("carrier"),
+                         (F.coalesce("__flagged", no) & ~F.coalesce("__dead", no)).alias("member"))
+
+
 def reconciliation(w: Warehouse, ids: DataFrame, as_of: AsOf) -> DataFrame:
-    """Do the separately computed halves and tables add up to the cohort?"""
-    keep = [BORN, SEX]
-    everyone, yes, no = cohort(w, keep), carrier_cohort(w, ids, keep), noncarrier_cohort(w, ids, keep)
-    rows, people = checks.row_total, lambda table: checks.sum_total(table, "n_people")
-    return checks.reconcile([
-        ("carriers + non-carriers = cohort", [rows(yes), rows(no)], [rows(everyone)]),
-        ("carriers - missing = carriers in cohort", [rows(carrier_people(w, ids))],
-         [rows(yes), rows(missing_carriers(w, ids))]),
-        ("age table = carriers", [people(age_distribution(yes, as_of))], [rows(yes)]),
-        ("sex table = carriers", [people(sex_distribution(yes, w))], [rows(yes)]),
-        ("age table = non-carriers", [people(age_distribution(no, as_of))], [rows(no)]),
-        ("sex table = non-carriers", [people(sex_distribution(no, w))], [rows(no)]),
-        ("one group, both halves = group", [rows(one_group(yes)), rows(one_group(no))],
-         [rows(one_group(everyone))]),
+    """Do the halves and the age, sex and race tables add up to the cohort?
+
+    The tables are grouping sets of one pass over ``everybody``; codes are named afterwards, so a code with
+    two names or none would show as a difference.
+    """
+    flags = ["member", "carrier", "known"]
+    people = with_age(everybody(w, ids, [BORN, SEX]), as_of).withColumn("in_group", F.col("race_ethnicity") == vocab.RACE_LABELS[vocab.ASIAN_CODE])
+    by = [*flags, "age_group", SEX, "in_group"]
+    counted = (people.groupingSets([flags, [*flags, "age_group"], [*flags, SEX], [*flags, "in_group"]], *by)
+                     .agg(F.grouping_id().alias("set"), F.count(F.lit(1)).alias("n")))
+    # Three bits tell the sets: a bit is 0 where the column is kept.
+    whole, age, sex, group = (F.col("set") == bits for bits in (0b111, 0b011, 0b101, 0b110))
+    names = w.concept.select(F.col("concept_id").alias("__code"), F.col("concept_name").alias("sex_at_birth"))
+    named = counted.join(names, sex & (F.col(SEX) == F.col("__code")), "left").withColumn("sex_at_birth", keep_or_other(F.col("sex_at_birth")))
+    tables = named.groupBy("set", *flags, "age_group", "in_group", "sex_at_birth").agg(F.sum("n").alias("n"))
+    yes, no, everyone = F.col("member") & F.col("carrier"), F.col("member") & ~F.col("carrier"), F.col("member")
+    listed = F.col("carrier") & F.col("known")
+    return checks.reconcile_counted(tables, [
+        ("carriers + non-carriers = cohort", [whole & yes, whole & no], [whole & everyone]),
+        ("carriers - missing = carriers in cohort", [whole & listed], [whole & yes, whole & listed & ~everyone]),
+        ("age table = carriers", [age & yes], [whole & yes]),
+        ("sex table = carriers", [sex & yes], [whole & yes]),
+        ("age table = non-carriers", [age & no], [whole & no]),
+        ("sex table = non-carriers", [sex & no], [whole & no]),
+        ("one group, both halves = group", [group & F.col("in_group") & yes, group & F.col("in_group") & no], [group & F.col("in_group") & everyone]),
     ])

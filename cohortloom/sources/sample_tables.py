@@ -16,15 +16,16 @@ from pyspark.sql import types as T
 from cohortloom import vocab
 from cohortloom.functions.labels import first_match
 
-# Question per order, by order key modulo 5.
-_QUESTION_IDS = [*vocab.ALCOHOL_QUESTIONS, vocab.SUBGROUP]
-_SHORT_NAMES = [*vocab.QUESTION_NAMES.values(), "Race: What Race Ethnicity"]
+# Question per order, by order key modulo 5; the last is for repeated answers to the others.
+_QUESTION_IDS = [*vocab.ALCOHOL_QUESTIONS, vocab.SUBGROUP, vocab.RACE]
+_SHORT_NAMES = [*vocab.QUESTION_NAMES.values(), "Race: What Race Ethnicity", "Race: Race And Ethnicity"]
 _LONG_NAMES = [
     "In your entire life, have you had at least 1 drink of any kind of alcohol?",
     "How often do you have a drink containing alcohol in the past year?",
     "On a typical day when you drink, how many drinks do you have?",
     "How often did you have six or more drinks on one occasion in the past year?",
     "Which of these groups describe you?",
+    "Which categories describe you?",
 ]
 # Answers 0-4 of each question; 5 is a refusal, 6 is missing.
 _ANSWERS = [
@@ -34,6 +35,8 @@ _ANSWERS = [
     ["6 or More Drinks Occurrence: Never In Last Year", "6 or More Drinks Occurrence: Less Than Monthly"]
     + ["6 or More Drinks Occurrence: Monthly"] * 3,
     vocab.SUBGROUPS,
+    ["What Race Ethnicity: Asian", 'What Race Ethnicity: None of these,\n"as I see it"', vocab.SUBGROUPS[0], vocab.SUBGROUPS[2],
+     "What Race Ethnicity: White"],
 ]
 SAMPLE_VIDS = ["199603"]
 _CARRIERS_PER_ROW = 1000
@@ -114,12 +117,18 @@ class SampleWarehouse:
 
     @cached_property
     def survey(self) -> DataFrame:
-        """One answer per person and alcohol question, all answers to the subgroup question."""
+        """One answer per order.
+
+        A person answers each alcohol question once (with the lowest of the orders that ask it) and the subgroup
+        question any number of times; further orders of an alcohol question answer the race question.
+        """
         order, person, q = F.col("o_orderkey"), F.col("o_custkey"), F.col("q")
-        multi = F.when(q == 4, order)
-        picked = (self.orders.select(person.alias("person_id"), order, (order % 5).cast("int").alias("q"))
-                      .groupBy("person_id", "q", multi.alias("pick"))
-                      .agg(F.min("o_orderkey").alias("o_orderkey"))
+        rows = self.orders.select(person.alias("person_id"), order, (order % 5).cast("int").alias("asked"))
+        # Joined on the order, so that a person with many orders stays spread over tasks.
+        first = (rows.filter("asked < 4").groupBy("person_id", "asked").agg(F.min("o_orderkey").alias("o_orderkey"))
+                     .select("o_orderkey", F.lit(True).alias("is_first")))
+        picked = (rows.join(first, "o_orderkey", "left")
+                      .withColumn("q", F.when(F.col("is_first") | (F.col("asked") == 4), F.col("asked")).otherwise(F.lit(5)))
                       .withColumn("a", ((order + F.col("person_id")) % 7).cast("int")))
         names = _SHORT_NAMES if self.wording == "short" else _LONG_NAMES
         pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), q)

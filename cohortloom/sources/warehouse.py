@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -40,6 +41,28 @@ class Warehouse:
         return cls(**{table: spark.table(prefix + names[table]) for table in schemas.TABLES})
 
 
+#: Tables with one row per person, or few: the ones that are joined with each other on the person.
+PERSON_TABLES = ("person", "availability", "deaths")
+
+
+def save_bucketed(w: Warehouse, base: str, buckets: int, database: str | None = None, prefix: str | None = None) -> Warehouse:
+    """Write the person-level tables below ``base``, bucketed and sorted by person, as catalog tables.
+
+    Returns the warehouse with these tables in place of the old ones; ``Warehouse.from_catalog`` finds them again.
+    Tables of the same number of buckets meet on the person without a shuffle. Each bucket is written by one task
+    as one file. The survey is not bucketed: one person may hold a large part of it, and reports fold it by
+    person before the join anyway.
+    """
+    prefix = prefix if prefix is not None else f"b{uuid.uuid4().hex}_"
+    stored = {}
+    for table in PERSON_TABLES:
+        name = (f"{database}." if database else "") + prefix + schemas.WAREHOUSE_NAMES[table]
+        (getattr(w, table).repartition(buckets, "person_id").write.bucketBy(buckets, "person_id").sortBy("person_id")
+         .format("parquet").mode("overwrite").option("path", f"{base.rstrip('/')}/{schemas.WAREHOUSE_NAMES[table]}").saveAsTable(name))
+        stored[table] = w.person.sparkSession.table(name)
+    return Warehouse(**{t: stored.get(t, getattr(w, t)) for t in schemas.TABLES})
+
+
 def survey_scan(survey: DataFrame, question_ids: Sequence[int],
                 columns: Sequence[str] = ("person_id", "question", "answer")) -> DataFrame:
     """Answers to the listed questions. Both the list and the columns reach the file scan."""
@@ -61,7 +84,7 @@ def demographics(person: DataFrame, concept: DataFrame,
     keys = {role: ROLES[role] for role in roles}
     slim = person.select("person_id", F.col("birth_datetime").alias("date_of_birth"),
                          *extra, *[k for k in keys.values() if k not in extra])
-    named = lookup_names(slim, concept, keys, "concept_id", "concept_name", spread_by="person_id")
+    named = lookup_names(slim, concept, keys, "concept_id", "concept_name", person)
     return named.select("person_id", "date_of_birth", *extra, *roles)
 
 

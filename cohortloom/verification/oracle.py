@@ -35,16 +35,18 @@ deaths AS (
 variant_people AS (
   SELECT DISTINCT o_custkey AS person_id FROM orders WHERE year(o_orderdate) = 1996 AND month(o_orderdate) = 3),
 picked AS (
-  SELECT o_custkey AS person_id, o_orderkey % 5 AS q, min(o_orderkey) AS k
-  FROM orders GROUP BY o_custkey, o_orderkey % 5, CASE WHEN o_orderkey % 5 = 4 THEN o_orderkey END),
+  SELECT o_custkey AS person_id, o_orderkey AS k,
+    CASE WHEN o_orderkey % 5 = 4 OR o_orderkey = min(o_orderkey) OVER (PARTITION BY o_custkey, o_orderkey % 5)
+      THEN o_orderkey % 5 ELSE 5 END AS q
+  FROM orders),
 coded AS (SELECT person_id, q, (k + person_id) % 7 AS a FROM picked),
 survey AS (
   SELECT person_id,
-    CASE q WHEN 0 THEN 1586198 WHEN 1 THEN 1586201 WHEN 2 THEN 1586207 WHEN 3 THEN 1586213 ELSE 1586151 END
+    CASE q WHEN 0 THEN 1586198 WHEN 1 THEN 1586201 WHEN 2 THEN 1586207 WHEN 3 THEN 1586213 WHEN 4 THEN 1586151 ELSE 1586140 END
       AS question_concept_id,
     CASE q WHEN 0 THEN 'Alcohol: Alcohol Participant' WHEN 1 THEN 'Alcohol: Drink Frequency Past Year'
       WHEN 2 THEN 'Alcohol: Average Daily Drink Count' WHEN 3 THEN 'Alcohol: 6 or More Drinks Occurrence'
-      ELSE 'Race: What Race Ethnicity' END AS question,
+      WHEN 4 THEN 'Race: What Race Ethnicity' ELSE 'Race: Race And Ethnicity' END AS question,
     CASE WHEN a = 6 THEN NULL
       WHEN a = 5 THEN CASE WHEN q IN (1, 4) THEN 'PMI: Prefer Not To Answer' ELSE 'PMI: Skip' END
       WHEN q = 0 THEN CASE WHEN a < 3 THEN 'Alcohol Participant: Yes' ELSE 'Alcohol Participant: No' END
@@ -54,6 +56,8 @@ survey AS (
         WHEN 2 THEN '5 or 6' WHEN 3 THEN '7 to 9' ELSE '10 or More' END
       WHEN q = 3 THEN '6 or More Drinks Occurrence: ' || CASE a WHEN 0 THEN 'Never In Last Year'
         WHEN 1 THEN 'Less Than Monthly' ELSE 'Monthly' END
+      WHEN q = 5 THEN CASE a WHEN 0 THEN 'What Race Ethnicity: Asian' WHEN 1 THEN 'What Race Ethnicity: None of these,' || chr(10) || '"as I see it"'
+        WHEN 2 THEN 'Asian Specific: Chinese' WHEN 3 THEN 'Asian Specific: Korean' ELSE 'What Race Ethnicity: White' END
       ELSE 'Asian Specific: ' || CASE a WHEN 0 THEN 'Chinese' WHEN 1 THEN 'Japanese' WHEN 2 THEN 'Korean'
         WHEN 3 THEN 'Filipino' ELSE 'Vietnamese' END END AS answer,
     'wave ' || q AS survey_version_name
@@ -126,7 +130,7 @@ subgroup_rows AS (
     regexp_replace(v.answer,
       'Drink Frequency Past Year: |Average Daily Drink Count: |6 or More Drinks Occurrence: |Alcohol Participant: ', '', 'g')
       AS clean_answer, v.answer
-  FROM lookup l JOIN valid v ON l.person_id = v.person_id WHERE v.question_concept_id <> 1586151),
+  FROM lookup l JOIN valid v ON l.person_id = v.person_id WHERE v.question_concept_id NOT IN (1586151, 1586140)),
 subgroup_cats AS (
   SELECT *, CASE question_concept_id WHEN 1586198 THEN 'Lifetime Use: ' WHEN 1586201 THEN 'Frequency: '
       WHEN 1586207 THEN 'Quantity: ' WHEN 1586213 THEN 'Binge (6+): ' END AS prefix
@@ -246,7 +250,7 @@ _QTY_SOURCE = _SUBGROUP_SOURCE.format(
     answer="CASE WHEN s.answer = 'Average Daily Drink Count: 1 or 2' THEN '1–2 drinks' ELSE '3+ drinks' END",
     question=1586207)
 _FREQ_RANKS = "SELECT CAST(pos AS INT) AS pos, answer FROM ranks WHERE pos <= 5"
-_ALL_RANKS = "SELECT CAST(pos AS INT) AS pos, answer FROM ranks"
+_ALL_RANKS = "SELECT CAST(CASE WHEN pos > 5 THEN pos - 5 ELSE pos END AS INT) AS pos, answer FROM ranks"
 _QTY_RANKS = "SELECT * FROM (VALUES (1, '1–2 drinks'), (2, '3+ drinks')) t(pos, answer)"
 
 _BY_COHORT = """
@@ -255,9 +259,9 @@ SELECT h.cohort, s.question, s.answer FROM {survey} s JOIN (
   SELECT person_id, half || ' (Asian)' FROM halves WHERE race_ethnicity = 'Asian') h ON s.person_id = h.person_id
 WHERE s.question_concept_id IN ({questions})"""
 
-_CARRIER_RACE = "SELECT * FROM long_rows WHERE carrier AND question_concept_id <> 1586151"
+_CARRIER_RACE = "SELECT * FROM long_rows WHERE carrier AND question_concept_id NOT IN (1586151, 1586140)"
 _OTHER_RACE = """SELECT * FROM long_rows WHERE person_id NOT IN (SELECT person_id FROM variant_people)
-  AND question_concept_id <> 1586151"""
+  AND question_concept_id NOT IN (1586151, 1586140)"""
 _CARRIER_SUB = """SELECT race_ethnicity, prefix || coalesce(clean_answer, 'NA') AS category FROM subgroup_cats WHERE carrier"""
 _OTHER_SUB = """SELECT race_ethnicity, prefix || coalesce(answer, 'NA') AS category FROM subgroup_cats
   WHERE person_id NOT IN (SELECT person_id FROM variant_people)"""
@@ -270,7 +274,7 @@ SELECT outcome, term, round(1.0 - 2.0 * (h / 3.0) * list_sum(list_transform(gene
 FROM (SELECT outcome, term, abs(estimate / std_error) / 2000.0 AS h FROM terms) t"""
 
 _BODIES = {
-    "survey_scan": "SELECT person_id, question, answer, survey_version_name FROM survey WHERE question_concept_id <> 1586151",
+    "survey_scan": "SELECT person_id, question, answer, survey_version_name FROM survey WHERE question_concept_id NOT IN (1586151, 1586140)",
     "cohort_person_scan": """SELECT person_id, CAST(date_of_birth AS VARCHAR) AS date_of_birth, race_concept_id,
         ethnicity_concept_id, gender, sex_at_birth, self_reported_category
         FROM demo WHERE person_id IN (SELECT person_id FROM flagged)""",
@@ -342,11 +346,16 @@ _BODIES = {
     "distinct_people_by_group": "SELECT answer, count(DISTINCT person_id) AS n_people FROM survey GROUP BY answer",
     "distinct_people": """SELECT count(DISTINCT person_id) AS n_people,
         count(DISTINCT coalesce(answer, '<none>')) AS n_answers, count(*) AS n_rows FROM survey""",
+    "distinct_people_rollup": """SELECT h.race_ethnicity, h.half, s.question_concept_id,
+        CAST(GROUPING(h.race_ethnicity, h.half, s.question_concept_id) AS BIGINT) AS level, count(DISTINCT s.person_id) AS n_people
+        FROM survey s JOIN halves h ON s.person_id = h.person_id
+        GROUP BY CUBE (h.race_ethnicity, h.half, s.question_concept_id)""",
     "duplicate_keys": """SELECT person_id, count(*) AS n FROM survey WHERE question_concept_id = 1586151
         GROUP BY person_id HAVING count(*) > 1""",
     "distinct_values": "SELECT DISTINCT answer FROM survey",
     "freq_table_nonnull": "SELECT answer, count(*) AS n FROM survey WHERE answer IS NOT NULL GROUP BY answer",
-    "freq_n_way": "SELECT CAST(1 AS INT) AS gene, race_ethnicity, count(*) AS n FROM cohort GROUP BY race_ethnicity",
+    "freq_n_way": """SELECT CAST(person_id IN (SELECT person_id FROM flagged) AS INT) AS gene, race_ethnicity, count(*) AS n
+        FROM raced GROUP BY ALL""",
     "percent_table": """SELECT answer, count(*) AS count,
         100.0::DOUBLE * count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS percent FROM survey GROUP BY answer""",
     "largest_group": """SELECT answer, count(*) AS n FROM survey WHERE question_concept_id = 1586151 AND answer IS NOT NULL
@@ -384,7 +393,9 @@ _BODIES = {
         FROM ({_BY_COHORT.format(survey="survey", questions="1586198, 1586201, 1586207, 1586213")}) src GROUP BY ALL""",
     "question_tables_by_cohort": _ordered(
         _BY_COHORT.format(survey="unrefused", questions="1586201, 1586207"),
-        "coalesce((SELECT pos FROM ranks r WHERE r.answer = c.answer), 11)", "answer", 12, "cohort, question"),
+        """coalesce((SELECT CASE WHEN pos > 5 THEN pos - 5 ELSE pos END FROM ranks r
+          WHERE r.answer = c.answer AND (pos <= 5) = (c.question = 'Alcohol: Drink Frequency Past Year')), 6)""",
+        "answer", 7, "cohort, question"),
     "stratified_np": _stratified("""
         SELECT u.question_concept_id, i.race_ethnicity, u.answer FROM unrefused u JOIN initial i ON u.person_id = i.person_id
         WHERE u.question_concept_id IN (1586201, 1586207) AND u.answer IS NOT NULL AND i.race_ethnicity IN
@@ -424,7 +435,7 @@ _BODIES = {
             max(CASE WHEN question_concept_id = 1586201 THEN answer END) AS answer_1586201,
             max(CASE WHEN question_concept_id = 1586207 THEN answer END) AS answer_1586207,
             max(CASE WHEN question_concept_id = 1586213 THEN answer END) AS answer_1586213
-          FROM valid GROUP BY person_id)
+          FROM valid WHERE question_concept_id <> 1586140 GROUP BY person_id)
         SELECT one.*, m.answer AS answer_1586151
         FROM one LEFT JOIN valid m ON m.person_id = one.person_id AND m.question_concept_id = 1586151""",
     "outcome_label": "SELECT person_id, race_ethnicity, drinking_frequency, CAST(1 AS BIGINT) AS n FROM outcomes",
@@ -435,7 +446,30 @@ _BODIES = {
           CAST((count(DISTINCT c.k) - 1) * count(DISTINCT c.g) AS BIGINT) AS edf
         FROM model_cells c JOIN (SELECT g, CAST(sum(n) AS DOUBLE) AS size FROM model_cells GROUP BY g) t ON t.g = c.g) x""",
     "multinomial_pvalues": _PVALUES,
+    # With the interaction the model has a coefficient per cell, so log ratios of the cells' counts are its fit.
+    "multinomial_two_factors": """
+        WITH cells AS (
+          SELECT a.sex AS a, CASE WHEN a.age < 55 THEN 'young' ELSE 'old' END AS b, s.answer AS k, count(*) AS n
+          FROM survey s JOIN aged a ON s.person_id = a.person_id
+          WHERE s.question_concept_id = 1586201 AND s.answer IN (SELECT answer FROM ranks WHERE pos <= 5) GROUP BY ALL),
+        ra AS (SELECT a FROM cells GROUP BY a ORDER BY sum(n) DESC, a LIMIT 1),
+        rb AS (SELECT b FROM cells GROUP BY b ORDER BY sum(n) DESC, b LIMIT 1),
+        l AS (SELECT c.a, c.b, c.k AS outcome, ln(c.n / o.n) AS v, 1.0 / c.n + 1.0 / o.n AS e
+          FROM cells c JOIN cells o ON o.a = c.a AND o.b = c.b AND o.k = 'Drink Frequency Past Year: Never' AND c.k <> o.k),
+        t AS (
+          SELECT x.outcome, CASE WHEN x.a = (FROM ra) AND x.b = (FROM rb) THEN '(Intercept)' WHEN x.b = (FROM rb) THEN x.a
+              WHEN x.a = (FROM ra) THEN x.b ELSE x.a || ':' || x.b END AS term,
+            x.v - CASE WHEN x.a <> (FROM ra) THEN left_.v ELSE 0 END - CASE WHEN x.b <> (FROM rb) THEN up.v ELSE 0 END
+              + CASE WHEN x.a <> (FROM ra) AND x.b <> (FROM rb) THEN r.v WHEN x.a <> (FROM ra) OR x.b <> (FROM rb) THEN 0 ELSE 0 END AS estimate,
+            sqrt(x.e + CASE WHEN x.a <> (FROM ra) THEN left_.e ELSE 0 END + CASE WHEN x.b <> (FROM rb) THEN up.e ELSE 0 END
+              + CASE WHEN x.a <> (FROM ra) AND x.b <> (FROM rb) THEN r.e ELSE 0 END) AS std_error
+          FROM l x JOIN l left_ ON left_.outcome = x.outcome AND left_.a = (FROM ra) AND left_.b = x.b
+            JOIN l up ON up.outcome = x.outcome AND up.b = (FROM rb) AND up.a = x.a
+            JOIN l r ON r.outcome = x.outcome AND r.a = (FROM ra) AND r.b = (FROM rb))
+        SELECT outcome, term, TRUE AS finite, round(estimate, 6) AS estimate, round(std_error, 6) AS std_error,
+          round(exp(estimate), 6) AS risk_ratio, round(estimate / std_error, 6) AS z FROM t""",
 }
+_BODIES["bucketed_cohort"] = _BODIES["cohort_semi_join"]
 _BODIES["race_breakdown"] = _BODIES["breakdown_full_join"]
 
 ORACLE: dict[str, str] = {}

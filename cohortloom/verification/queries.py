@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortloom import vocab
-from cohortloom.functions.labels import collapse
+from cohortloom.functions.labels import collapse, keep_or_other
 from cohortloom.functions.predicates import is_answered, is_valid_answer, not_listed
 from cohortloom.functions.text import cast_ids, na_to_null, remove_all
-from cohortloom.operators import cohorts, counts, crosstab, joins, multinomial, reshape, tables
+from cohortloom.operators import cohorts, counts, crosstab, factor_fit, joins, multinomial, people_bitmaps, reshape, tables
 from cohortloom.plans import answers, crosstabs, people
 from cohortloom.session import scratch_path
 from cohortloom.sources import csv_shards, warehouse
@@ -199,6 +199,13 @@ def cohort_anti_join(w):
     return people.noncarrier_cohort(w, _ids(w))
 
 
+@query
+def bucketed_cohort(w):
+    """Carriers in the cohort, from person tables that are written bucketed by person: their joins shuffle nothing."""
+    stored = warehouse.save_bucketed(w, scratch_path(w.spark, "bucketed"), buckets=8)
+    return people.carrier_cohort(stored, _ids(w))
+
+
 @query
 def anti_via_left(w):
     return cohorts.drop_members_via_left(people.cohort(w), _ids(w))
@@ -306,9 +313,18 @@ def distinct_people_by_group(w):
 
 @query
 def distinct_people(w):
-    return w.survey.agg(counts.distinct_count("person_id").alias("n_people"),
-                        counts.distinct_count("answer").alias("n_answers"),
-                        F.count(F.lit(1)).alias("n_rows"))
+    return people_bitmaps.distinct_totals(w.survey, "person_id", "answer").withColumnsRenamed(
+        {"n_keys": "n_people", "n_values": "n_answers"})
+
+
+@query
+def distinct_people_rollup(w):
+    """Distinct people per race group, half and question, with all totals, from one pass over the answers."""
+    asked = w.survey.select("person_id", "question_concept_id").distinct()
+    rows = answers.halves(w, _ids(w)).join(asked, "person_id")
+    by = ["race_ethnicity", "half", "question_concept_id"]
+    sets = [[c for i, c in enumerate(by) if kept >> i & 1] for kept in range(8)]
+    return people_bitmaps.people_by(rows, sets, by).withColumn("level", F.col("level").cast("bigint"))
 
 
 @query
@@ -328,7 +344,8 @@ def freq_table_nonnull(w):
 
 @query
 def freq_n_way(w):
-    rows = people.genotyped(people.cohort(w), w).select("gene", "race_ethnicity")
+    """People with and without any data, dead or alive, by race group."""
+    rows = people.genotyped(people.with_race(w.person.select("person_id", *people.CODES)), w).select("gene", "race_ethnicity")
     return counts.frequency(rows, *rows.columns)
 
 
@@ -542,3 +559,15 @@ def multinomial_deviance(w):
 @query
 def multinomial_pvalues(w):
     return _rounded(crosstabs.regression(w, _ids(w)), 9, "p_value").select("outcome", "term", "p_value")
+
+
+@query
+def multinomial_two_factors(w):
+    """Drinking frequency of cohort members by sex, age half and both together."""
+    members = people.with_age(people.everybody(w, _ids(w), [people.BORN, people.SEX]).filter("member"), AS_OF)
+    named = joins.lookup_names(members, w.concept, {"name": people.SEX}, "concept_id", "concept_name", w.person)
+    rows = named.select("person_id", keep_or_other(F.col("name")).alias("sex"), F.when(F.col("age") < 55, "young").otherwise("old").alias("half"))
+    asked = answers.question_answers(w, vocab.FREQUENCY).filter(F.col("answer").isin(vocab.FREQUENCY_LEVELS))
+    counted = counts.count_joined(asked, rows, ["answer"], ["sex", "half"], name="n")
+    fitted = factor_fit.fit(counted, ["sex", "half"], "answer", vocab.FREQUENCY_LEVELS[0], [["sex", "half"]])
+    return _rounded(fitted, 6, "estimate", "std_error", "risk_ratio", "z")

@@ -12,7 +12,7 @@ RACE = 1586140
 SUBGROUP = 1586151
 
 ALCOHOL_QUESTIONS = [LIFETIME, FREQUENCY, QUANTITY, BINGE]
-COHORT_QUESTIONS = [SUBGROUP, *ALCOHOL_QUESTIONS]
+COHORT_QUESTIONS = [RACE, SUBGROUP, *ALCOHOL_QUESTIONS]
 
 QUESTION_NAMES = {
     LIFETIME: "Alcohol: Alcohol Participant",

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from cohortloom.operators import counts, joins
@@ -22,22 +23,36 @@ def test_null_keys_match_only_on_request(spark, rows):
 
 
 def test_lookup_ways_agree(spark, rows):
+    """Names by a map or by joins; the first reads its frame once, and neither runs a job while the plan is built."""
     people = spark.createDataFrame([(i, i % 2, 5 if i % 3 else None) for i in range(300)], "person_id long, g int, s int")
-    concept = spark.createDataFrame([(i, f"name {i}") for i in range(40)], "concept_id int, concept_name string")
-    args = (people, concept, {"gender": "g", "sex": "s"}, "concept_id", "concept_name", "person_id")
-    plain = joins.lookup_names(*args)
+    concept = spark.createDataFrame([(i, f"name {i}") for i in range(40)] + [(None, "none")], "concept_id int, concept_name string")
+    counted = people.groupBy("person_id", "g", "s").count().drop("count")
+    args = (counted, concept, {"gender": "g", "sex": "s"}, "concept_id", "concept_name", people)
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lookup", "plan only")
     try:
-        reduced, salted = joins.lookup_names(*args, max_rows=10), joins.lookup_names(*args, max_rows=0)
-        assert "BroadcastHashJoin" in reduced._jdf.queryExecution().executedPlan().toString()
-        assert "__salt" in salted._jdf.queryExecution().executedPlan().toString()
-        results = [rows(reduced), rows(salted)]
+        mapped, joined = joins.lookup_names(*args), joins.lookup_names(*args, few_codes=False)
+        assert not tracker.getJobIdsForGroup("lookup")
+        assert "Join" not in mapped._jdf.queryExecution().optimizedPlan().toString().split("Aggregate [person_id")[0].split("scalar-subquery")[0]
+        assert mapped._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [person_id") == 1
+        results = [rows(mapped), rows(joined)]
     finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
-    assert results == [rows(plain)] * 2
-    assert rows(plain)[0] == (0, 0, None, "name 0", None)
-    assert plain.columns == ["person_id", "g", "s", "gender", "sex"]
+    assert results[0] == results[1] and len(results[0]) == 300
+    assert results[0][0] == (0, 0, None, "name 0", None)
+    assert mapped.columns == joined.columns == ["person_id", "g", "s", "gender", "sex"]
+
+
+def test_too_many_codes_for_a_map_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(joins, "MAX_CODES", 3)
+    people = spark.range(10).select(F.col("id").alias("g"))
+    lookup = spark.range(10).select(F.col("id").alias("k"), F.lit("v").alias("v"))
+    with pytest.raises(Exception, match="few_codes=False"):
+        joins.lookup_names(people, lookup, {"name": "g"}, "k", "v", people).collect()
+    assert joins.lookup_names(people, lookup, {"name": "g"}, "k", "v", people, few_codes=False).count() == 10
 
 
 def test_merge_counts_leaves_missing_sides_null(spark, rows):

@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from cohortloom.operators import multinomial
+from cohortloom.operators import factor_fit, multinomial
 
 CELLS = {"g1": {"base": 30, "k1": 12, "k2": 5}, "g2": {"base": 20, "k1": 25, "k2": 9}, "g3": {"base": 11, "k1": 3, "k2": 14}}
 
@@ -82,3 +82,43 @@ def test_outcome_counts_drop_missing_values(spark, rows):
     df = spark.createDataFrame([("a", "k", 2), ("a", "k", 1), (None, "k", 9), ("a", None, 9)], "g string, y string, w long")
     assert rows(multinomial.outcome_counts(df, "g", "y")) == [("a", "k", 2)]
     assert rows(multinomial.outcome_counts(df, "g", "y", "w")) == [("a", "k", 3)]
+
+
+def test_general_fit_equals_the_closed_form_on_one_factor(counts):
+    closed = {(r.outcome, r.term): (r.estimate, r.std_error, r.risk_ratio, r.z) for r in multinomial.fit(counts, "base").collect()}
+    general = {(r.outcome, r.term): (r.estimate, r.std_error, r.risk_ratio, r.z) for r in
+               factor_fit.fit(counts, ["group"], "outcome", "base").collect()}
+    assert general.keys() == closed.keys()
+    for key, values in closed.items():
+        assert general[key] == pytest.approx(values, abs=1e-6)
+
+
+def test_two_factors_without_interaction(spark):
+    """Against Newton's method on the same design, written out."""
+    rng = np.random.default_rng(4)
+    rows = [(a, b, k, int(rng.integers(3, 40))) for a in ("x", "y", "z") for b in ("u", "v") for k in ("base", "k1", "k2")]
+    df = spark.createDataFrame([*rows, ("x", None, "k1", 9)], "a string, b string, k string, w long")
+    counted = factor_fit.factor_counts(df, ["a", "b"], "k", "w")
+    got = {(r.outcome, r.term): (r.estimate, r.std_error) for r in factor_fit.fit(counted, ["a", "b"], "k", "base", base_levels={"a": "x", "b": "u"}).collect()}
+    cells = {(a, b): {k: n for a2, b2, k, n in rows if (a, b) == (a2, b2)} for a, b, *_ in rows}
+    x = np.array([[1.0, a == "y", a == "z", b == "v"] for a, b in cells])
+    y = np.array([[c["k1"], c["k2"]] for c in cells.values()], float)
+    total = np.array([sum(c.values()) for c in cells.values()], float)
+    beta = np.zeros(8)
+    for _ in range(40):
+        e = np.exp(x @ beta.reshape(2, 4).T)
+        p = e / (1 + e.sum(1, keepdims=True))
+        info = sum(np.kron(total[i] * (np.diag(p[i]) - np.outer(p[i], p[i])), np.outer(x[i], x[i])) for i in range(len(x)))
+        beta = beta + np.linalg.solve(info, ((y - total[:, None] * p).T @ x).ravel())
+    se = np.sqrt(np.diag(np.linalg.inv(info)))
+    names = [(k, t) for k in ("k1", "k2") for t in (multinomial.INTERCEPT, "y", "z", "v")]
+    assert set(got) == set(names)
+    for name, b, s in zip(names, beta, se):
+        assert got[name] == pytest.approx((b, s), abs=1e-7)
+
+
+def test_an_empty_cell_is_flagged(spark):
+    rows = [(g, k, n) for g, c in {"p": (20, 9), "q": (11, 0)}.items() for k, n in zip(("base", "k1"), c) if n]
+    got = {r.term: r for r in factor_fit.fit(spark.createDataFrame(rows, "g string, k string, n long"), ["g"], "k", "base").collect()}
+    assert got["(Intercept)"].finite and got["(Intercept)"].estimate == pytest.approx(math.log(9 / 20), abs=1e-6)
+    assert not got["q"].finite and got["q"].estimate is None

@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from cohortloom import Warehouse, vocab
 from cohortloom.session import scratch_path, shared_folder
+from cohortloom.plans import people
 from cohortloom.sources import csv_shards, schemas, warehouse
+from cohortloom.sources.sample_tables import SampleWarehouse
 from cohortloom.sources.sql import sql_frame
+from cohortloom.sources.warehouse import save_bucketed
 
 
 def plan(df):
@@ -60,6 +63,30 @@ def test_warehouse_names_and_catalog(spark, stored):
     assert Warehouse.from_catalog(spark, names=names).person.count() == 5
 
 
+def test_bucketed_person_tables_meet_without_a_shuffle(spark, tmp_path, rows):
+    w = SampleWarehouse(spark, "/root/testdata/sf0.001")
+    stored = save_bucketed(w, str(tmp_path / "b"), 4)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cohort = people.cohort(stored)
+        plan = cohort._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("Bucketed: true") == 3
+        assert rows(cohort) == rows(people.cohort(w))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    again = save_bucketed(w, str(tmp_path / "c"), 4, prefix="again_")
+    assert spark.table("again_person").count() == again.person.count() == w.person.count()
+
+
+def test_every_order_is_a_survey_row(spark):
+    w = SampleWarehouse(spark, "/root/testdata/sf0.01")
+    assert w.survey.count() == w.orders.count()
+    asked = {r[0]: r[1] for r in w.survey.groupBy("question_concept_id").count().collect()}
+    assert set(asked) == {*vocab.COHORT_QUESTIONS} and len(vocab.COHORT_QUESTIONS) == 6
+    assert w.survey.filter(F.col("question_concept_id").isin(vocab.ALCOHOL_QUESTIONS)).groupBy("person_id", "question_concept_id").count().filter("count > 1").count() == 0
+
+
 def test_csv_keeps_awkward_text_and_reads_na_tokens_as_null(spark, tmp_path, rows):
     schema = "person_id BIGINT, answer STRING"
     data = [(1, 'say "hi", ok'), (2, "two\nlines"), (3, None), (4, ""), (5, "NA"), (6, "back\\slash"), (7, "NAN")]
@@ -70,6 +97,22 @@ def test_csv_keeps_awkward_text_and_reads_na_tokens_as_null(spark, tmp_path, row
         (1, 'say "hi", ok'), (2, "two\nlines"), (3, None), (4, None), (5, None), (6, "back\\slash"), (7, "NAN")]
 
 
+def test_shards_are_split_unless_they_hold_line_breaks(spark, tmp_path, rows):
+    """A large shard is read by many tasks; a shard with a line break in a field keeps its records whole."""
+    plain, broken = spark.range(20_000).selectExpr("id", "'some text' AS v"), spark.createDataFrame([(-1, 'a\n"b"\r\nc,')], "id long, v string")
+    one = csv_shards.export_csv(plain.coalesce(1), str(tmp_path / "x"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        assert csv_shards.read_csv_shards(spark, one, "id BIGINT, v STRING").rdd.getNumPartitions() > 4
+        both = csv_shards.export_csv(plain.coalesce(1).union(broken), str(tmp_path / "y z"))
+        got = csv_shards.read_csv_shards(spark, both, "id BIGINT, v STRING")
+        assert got.rdd.getNumPartitions() > 4 and got.count() == 20_001
+        assert rows(got.filter("id = -1")) == [(-1, 'a\n"b"\r\nc,')]
+        assert csv_shards.by_line_breaks(spark, one) == (one, [])
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_csv_raw_tokens(spark, tmp_path, rows):
     (tmp_path / "a.csv").write_text('k,v\n1,\n2,NA\n3,""\n4,x\nNA,y\n')
     (tmp_path / "b.csv").write_text('k,v\n5,"NA"\n')
