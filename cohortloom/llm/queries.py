@@ -89,9 +89,10 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/documents.parquet"
     docs = spark.read.parquet(path)
     files = max(1, len(docs.inputFiles()) // 4)
+    buckets = docs.count() // 1000 + 1  # from the files' footers
     # A pattern, since a stream's plain path must be a folder and the table may be one file.
     stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", files).parquet(f"{sf_dir}/documents.parque[t]")
-    return filter_audit.audit(filter_audit.counters(stream, table(spark, sf_dir, "labels")))
+    return filter_audit.audit(filter_audit.counters(stream, table(spark, sf_dir, "labels"), buckets))
 
 
 QUERIES: dict[str, Query] = {
