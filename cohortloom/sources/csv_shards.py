@@ -6,6 +6,7 @@ import warnings
 from collections.abc import Mapping, Sequence
 from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 from cohortloom import vocab
 from cohortloom.functions.dates import AsOf
 from cohortloom.functions.text import na_to_null
+from cohortloom.session import scratch_path
 
 # Doubled quotes, as in RFC 4180; without this Spark escapes with backslashes.
 _DIALECT = {"header": "true", "quote": '"', "escape": '"'}
@@ -27,12 +29,34 @@ def export_path(base: str, name: str, on: AsOf | None = None) -> str:
     return "/".join(parts)
 
 
+def _is_there(spark: SparkSession, path: str) -> bool:
+    """Whether a path has files: one listing, no job."""
+    try:
+        return bool(spark.read.format("binaryFile").load(path).schema)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+
+
 def export_csv(df: DataFrame, path: str, rows_per_shard: int = 2_000_000) -> str:
-    """Write one shard or more per partition, replacing what is there; returns the shard glob."""
+    """Write one shard or more per partition, replacing what is there; returns the shard glob.
+
+    Spark empties a folder before it starts to write there. So where an older export lies, the rows
+    are first computed into a new folder of the shared scratch space, and only finished rows replace
+    it: a job that fails on the way leaves the old export as it was.
+    """
+    spark = df.sparkSession
+    staged = scratch_path(spark, "staged") if _is_there(spark, path) else None
+    if staged:
+        df.write.parquet(staged)
+        df = spark.read.schema(df.schema).parquet(staged)
     (df.write.mode("overwrite").options(**_DIALECT)
        .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
        .option("maxRecordsPerFile", rows_per_shard)
        .csv(path))
+    if staged:
+        spark.range(0).write.mode("overwrite").parquet(staged)  # the space is free again
     return f"{path}/*.csv"
 
 

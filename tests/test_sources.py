@@ -143,6 +143,21 @@ def test_export_paths_and_overwrite(spark, tmp_path, rows):
     assert (read(monday), read(tuesday)) == ([(0,)], [(0,), (1,)])
 
 
+def test_a_failed_export_keeps_the_old_rows(spark, tmp_path, rows):
+    path = csv_shards.export_path(str(tmp_path), "t", "2024-03-04")
+    shards = csv_shards.export_csv(spark.range(5), path)
+    broken = spark.range(100).repartition(4).select(F.when(F.col("id") == 97, F.raise_error(F.lit("half-way"))).otherwise(F.col("id")).cast("bigint").alias("id"))
+    with pytest.raises(Exception, match="half-way"):
+        csv_shards.export_csv(broken, path)
+    read = lambda: rows(csv_shards.read_csv_shards(spark, shards, "id BIGINT"))
+    assert read() == [(i,) for i in range(5)]
+    csv_shards.export_csv(spark.range(7), path)  # the next export replaces them
+    assert read() == [(i,) for i in range(7)]
+    # An export may read what it replaces.
+    csv_shards.export_csv(csv_shards.read_csv_shards(spark, shards, "id BIGINT").filter("id > 4"), path)
+    assert read() == [(5,), (6,)]
+
+
 def test_shards_are_bounded(spark, tmp_path):
     shards = csv_shards.export_csv(spark.range(10).coalesce(1), str(tmp_path / "o"), rows_per_shard=3)
     assert len(glob.glob(shards)) == 4
