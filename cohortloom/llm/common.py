@@ -2,41 +2,38 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortloom.session import scratch_path
+
 #: White space between words: space and the five control characters from tab to carriage return.
 WHITE = r"[\x20\x09-\x0D]+"
+#: Size of the bit tables that keep rows out of joins: 2 MB.
+BITS = 24
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one is made up only where that is unset and the session is local."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
-        folder = tempfile.mkdtemp(prefix="llm-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder, never used before."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written as a table below the shared folder and read back: computed once, safe from lost executors."""
     path = scratch_path(df.sparkSession, "cut")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Empty tables that ``cut`` wrote and that nothing reads any more, so that their space is free again."""
+    for table_ in tables:
+        if path := _PATHS.pop(table_, None):
+            table_.sparkSession.range(0).write.mode("overwrite").parquet(path)
 
 
 def text_or_empty(column: str) -> Column:

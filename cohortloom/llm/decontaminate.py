@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortloom.llm.common import cut
+from cohortloom.llm.words import blocks, hash_shingles, hash_words, split_words
 
 SHINGLE = 3
 #: Bytes of words: digits, letters (A-Z folded) and everything outside ASCII; all others are 0.
@@ -35,61 +36,9 @@ _FOLD = np.zeros(256, np.uint8)
 for _low, _high in ((48, 58), (97, 123), (128, 256)):
     _FOLD[_low:_high] = np.arange(_low, _high)
 _FOLD[65:91] = _FOLD[97:123]
-#: Words are hashed together in blocks of so many bytes, or of one word.
-_BLOCK = 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_MIX = np.random.default_rng(21).integers(1, 2**63, SHINGLE, dtype=np.uint64) | np.uint64(1)
 _WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-def hash_words(code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words ``code[start:end]``: polynomials of their bytes, from running sums."""
-    out = np.empty(len(starts), np.uint64)
-    up = down = np.empty(0, np.uint64)
-    at = 0
-    while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + _BLOCK, "right")))
-        low, n = starts[at], int(ends[to - 1] - starts[at])
-        if n >= len(up):
-            up, down = _powers(n + 1, int(_BASE)), _powers(n + 1, pow(int(_BASE), -1, 2**64))
-        run = np.zeros(n + 1, np.uint64)
-        np.cumsum(code[low : low + n] * up[:n], out=run[1:])
-        first = starts[at:to] - low
-        out[at:to] = (run[ends[at:to] - low] - run[first]) * down[first]
-        at = to
-    return out
-
-
-def hash_shingles(words: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of every ``size`` consecutive words of their hashes."""
-    n = len(words) - size + 1
-    if n < 1:
-        return np.empty(0, np.uint64)
-    out = np.full(n, size, np.uint64)
-    for i in range(size):
-        x = words[i : n + i] * _MIX[i]
-        out = (out ^ (x >> np.uint64(29)) ^ x) * _MIX[0]
-    return out ^ (out >> np.uint64(32))
-
-
-def split_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The folded bytes of texts that lie end to end, and where their words start and end; no word spans two texts."""
-    code = _FOLD[raw]
-    inside = code != 0
-    first, last = inside.copy(), inside.copy()
-    first[1:] &= ~inside[:-1]
-    last[:-1] &= ~inside[1:]
-    seams = offsets[(offsets > 0) & (offsets < len(raw))]
-    first[seams], last[seams - 1] = inside[seams], inside[seams - 1]
-    return code, np.flatnonzero(first), np.flatnonzero(last) + 1
-
-
 def _item_windows(window: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -98,8 +47,8 @@ def _item_windows(window: int):
                 n = min(window, len(words))
                 if not n:
                     continue
-                raw = np.frombuffer(b" ".join(words), np.uint8)
-                hashes = hash_shingles(hash_words(*split_words(raw, np.array([0]))), min(SHINGLE, n)).view(np.int64)
+                code = _FOLD[np.frombuffer(b" ".join(words), np.uint8)]
+                hashes = hash_shingles(hash_words(code, *split_words(code, np.array([0]))), min(SHINGLE, n)).view(np.int64)
                 for low in range(0, len(words) - n + 1, 4096):
                     at = range(low, min(low + 4096, len(words) - n + 1))
                     yield pd.DataFrame({"item": item, "pattern": [b" ".join(words[i : i + n]).decode() for i in at], "n": n,
@@ -112,7 +61,8 @@ def _stretches(bits, sizes: dict[int, int], reach: int):
     """Per text: its number of words, and its stretches of words that may belong to a window."""
 
     def chunk(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[list[dict]]]:
-        code, starts, ends = split_words(raw, offsets)
+        code = _FOLD[raw]
+        starts, ends = split_words(code, offsets)
         texts = len(offsets) - 1
         which = np.searchsorted(offsets, starts, "right") - 1
         edge = np.searchsorted(which, np.arange(texts + 1))
@@ -137,17 +87,11 @@ def _stretches(bits, sizes: dict[int, int], reach: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("t").cast(pa.large_string())
-            offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-            raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
-            at = 0
             counts, found = [], []
-            while at < len(texts):
-                to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + _BLOCK, "right")) - 1)
-                n, runs = chunk(raw[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+            for _, _, raw, offsets in blocks(batch.column("t")):
+                n, runs = chunk(raw, offsets)
                 counts.append(n)
                 found += runs
-                at = to
             if counts:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("row"), pa.array(np.concatenate(counts), pa.int64()),

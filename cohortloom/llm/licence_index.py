@@ -7,7 +7,8 @@ are verified: the mandatory key phrase must stand at its place, and the matched
 template's total rarity.
 
 Defined results: a null text is empty. A document without licence words has empty labels and score 0. Repeated rows are
-scanned each. An empty table gives an empty result. Texts are scanned whole; only named columns are read.
+scanned each. Of words equally rare the first in alphabetical order is posted. An empty table gives an empty result. Texts
+are scanned whole; only named columns are read.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ labels of the nearest ones vote with their similarity as weight.
 Only the fit uses a bounded sample: at most ``sample`` labelled rows, the first by a hash of their id.
 
 Defined results: null and empty texts have no features and get the share of label 1 in the sample. Without labels every
-score is 0.5. Texts are read whole. Repeated rows get equal scores. An empty table gives an empty result.
+score is 0.5. Texts are read whole. Repeated rows get equal scores. A document that is labelled twice is fitted twice, with
+each of its labels; null labels and labels without a document count for nothing. Of labelled vectors that are equally
+near, any may vote. Further columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -8,9 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from cohortloom.llm import (decontaminate, filter_audit, jaccard_forest, licence_index, line_templates, main_text, merkle, mixing,
-                            neighbour_quality, packing, quality_rules, secret_forest, topk)
+                            neighbour_quality, packing, pipeline, quality_rules, secret_forest, topk)
 from cohortloom.llm.common import table
 from cohortloom.llm.sql import ORACLE
 
@@ -20,7 +19,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each document is taken, for as many tokens as the corpus has, at most four epochs."""
     docs = table(spark, sf_dir, "documents")
-    got = mixing.mixed(docs.select("doc_id", "text", "lang", "source"), corpus_pipeline.tree(), corpus_pipeline.tree_weights(spark), 1.0, 4, 7)
+    got = mixing.mixed(docs.select("doc_id", "text", "lang", "source"), pipeline.tree(), pipeline.tree_weights(spark), 1.0, 4, 7)
     return got.select(F.col("id").alias("doc_id"), *mixing.LEVELS, F.col("epochs").cast("long").alias("epochs"))
 
 
@@ -109,7 +108,7 @@ QUERIES: dict[str, Query] = {
     "op11_decontaminate": op11_decontaminate,
     "op12_merkle": op12_merkle,
     "op13_filter_audit": op13_filter_audit,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 
 __all__ = ["ORACLE", "QUERIES"]
