@@ -17,6 +17,7 @@ are copies of each other. An empty table gives an empty result. Texts of any len
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +27,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.llm.common import cut, text_key
+from cohortloom.llm.common import BITS, cut, release, text_key
+from cohortloom.llm.words import blocks, hash_shingles, hash_words, split_words
+from cohortloom.operators.member_filter import maybe_members, split_members
 
 WORDS = 5
-#: Odd multipliers from fixed seeds: every worker and every run hashes alike.
-_WORD_MIX = np.random.default_rng(11).integers(1, 2**63, WORDS, dtype=np.uint64) | np.uint64(1)
+#: Bytes of words as they are, white space as 0; the byte 0 itself takes the place of a separator that is white space.
+_SPACE = np.arange(256, dtype=np.uint8)
+_SPACE[0], _SPACE[[9, 10, 11, 12, 13, 32]] = 28, 0
+#: White space besides: characters, and the bytes that they may start with.
+_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_ODD_BYTES = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
 
 def matched_prefix(trees: int, max_depth: int, threshold: float, target_recall: float) -> int:
@@ -41,48 +48,44 @@ def matched_prefix(trees: int, max_depth: int, threshold: float, target_recall:
     return depth
 
 
-def shingles(text: str | None, cache: dict[str, int]) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's shingles. ``cache`` holds word hashes and is emptied when large."""
-    words = text.split() if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    if len(cache) > 200_000:
-        cache.clear()
-    get, known = cache.get, []
-    for w in words:
-        h = get(w)
-        if h is None:
-            h = cache[w] = xxhash.xxh3_64_intdigest(w)
-        known.append(h)
-    h = np.array(known, dtype=np.uint64)
-    span = min(WORDS, len(h))
-    n = len(h) - span + 1
-    out = np.full(n, span, np.uint64)
-    for i in range(span):
-        x = h[i : n + i] * _WORD_MIX[i]
-        out = (out ^ (x >> np.uint64(29)) ^ x) * _WORD_MIX[0]
-    return np.unique(out)
+def _letters(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Blocks of texts (see ``words.blocks``) with 0 for every white space."""
+    for first, to, raw, offsets in blocks(texts):
+        if _ODD_BYTES.search(raw.tobytes()):  # white space outside of ASCII's: texts of such blocks are written anew
+            plain = pa.array([_ODD_SPACE.sub(" ", t) for t in texts.slice(first, to - first).to_pylist()], pa.string())
+            yield from ((first + a, first + b, _SPACE[r], o) for a, b, r, o in blocks(plain))
+        else:
+            yield first, to, _SPACE[raw], offsets
+
+
+def shingled(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Of each text, the sorted distinct 64-bit hashes of its shingles."""
+    for first, to, code, offsets in _letters(texts):
+        starts, ends = split_words(code, offsets)
+        words = hash_words(code, starts, ends)
+        edge = np.searchsorted(starts, offsets)
+        for i in range(to - first):
+            own = words[edge[i] : edge[i + 1]]
+            yield np.unique(hash_shingles(own, min(WORDS, len(own)))) if len(own) else own
 
 
 def signed(trees: int, depth: int):
     """Per text: the set's digest and the key of its node in every tree."""
-    mix = np.random.default_rng(12).integers(1, 2**63, (trees * depth, 1), dtype=np.uint64) | np.uint64(1)
+    mix = np.random.default_rng(12).integers(1, 2**31, (trees * depth, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, int] = {}
         for batch in batches:
-            digests, sizes, keys = [], [], []
-            for text in batch.column("t"):
-                s = shingles(text.as_py(), cache)
-                sizes.append(len(s))
+            digests, keys = [], []
+            for s in shingled(batch.column("t")):
                 if not len(s):
                     digests.append(None)
                     keys.append([])
                     continue
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()))
-                low = np.full(len(mix), np.iinfo(np.uint64).max, np.uint64)
+                short = (s >> np.uint64(32)).astype(np.uint32)  # minima need few bits; equal minima are verified anyway
+                low = np.full(len(mix), np.iinfo(np.uint32).max, np.uint32)
                 for at in range(0, len(s), 1024):  # bounded memory for long texts
-                    low = np.minimum(low, (s[at : at + 1024] * mix).min(axis=1))
+                    low = np.minimum(low, (short[at : at + 1024] * mix).min(axis=1))
                 keys.append([xxhash.xxh3_64_intdigest(p.tobytes(), seed=t) - 2**63 for t, p in enumerate(low.reshape(trees, depth))])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("k1"), batch.column("k2"), pa.array(digests, pa.binary()),
@@ -168,11 +171,10 @@ def _links(found: list[tuple]) -> pd.DataFrame:
                          "links": np.concatenate([f[2] for f in found]) if found else np.empty(0, np.int64)})
 
 
-def _with_shingles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    cache: dict[str, int] = {}
-    for frame in frames:
-        sets = [shingles(t, cache).tobytes() for t in frame["t"]]
-        yield pd.DataFrame({"node": [xxhash.xxh3_128_digest(s) for s in sets], "shingles": sets})
+def _with_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [s.tobytes() for s in shingled(batch.column("t"))]
+        yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["node", "shingles"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -192,7 +194,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = big.groupBy("a").agg(F.min("b").alias("m"))
         small = big.join(low, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a != b").distinct()
-        edges = cut(small)
+        edges, old = cut(small), edges
+        release(old)
         state = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.bit_xor(F.xxhash64("b", "a")).alias("y")).first()
         if state == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -200,17 +203,26 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, trees: int = 20,
-                    max_depth: int = 8, target_recall: float = 0.9999, block: int = 512) -> DataFrame:
+                    max_depth: int = 8, target_recall: float = 0.9999, block: int = 512, only: DataFrame | None = None,
+                    bits: int = BITS) -> DataFrame:
     """Per row of ``df``: ``id``, the hashes ``k1`` and ``k2`` of its text, ``class_id`` and ``n_links``.
 
     ``class_id`` is the smallest id of the class: documents joined by chains of links. ``n_links`` is the number of
-    other rows whose set has a Jaccard similarity of at least ``threshold``, copies included.
+    other rows whose set has a Jaccard similarity of at least ``threshold``, copies included. ``only`` (k1, k2) leaves
+    all other texts out, as if they were not in ``df``.
+
+    Texts that are needed a second time are picked by a bit table of their ids (``2 ** bits`` bits, whatever their
+    number), so that others are not shuffled; where the table is full, all are, and results stay the same.
     """
     depth = matched_prefix(trees, max_depth, threshold, target_recall)
     t = F.col(f"`{text}`").cast("string")
     rows = df.select(F.col(f"`{doc_id}`").alias("id"), t.alias("t"), *text_key(t))
+    if only is not None:
+        rows = maybe_members(rows, only, "k1", bits=bits)
     kind = dict(rows.dtypes)["id"]
-    sets = cut(rows.mapInArrow(signed(trees, depth), f"id {kind}, k1 bigint, k2 bigint, node binary, keys array<bigint>"))
+    sets = rows.withColumn("t", F.coalesce("t", F.lit(""))).mapInArrow(
+        signed(trees, depth), f"id {kind}, k1 bigint, k2 bigint, node binary, keys array<bigint>")
+    sets = cut(sets if only is None else sets.join(only.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi"))
     classes = sets.where(F.col("node").isNotNull()).groupBy("node").agg(
         F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("keys").alias("keys"))
     classes = cut(classes)
@@ -224,15 +236,18 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     members = cut(spots.join(first.hint("merge"), ["tree", "key"]))
     wanted = members.select("node").distinct().join(classes.select("node", "rep", "weight", "keys"), "node")
     wanted = cut(wanted)
-    texts = rows.select("id", "t").join(wanted.select(F.col("rep").alias("r")).distinct().hint("merge"), F.col("id").eqNullSafe(F.col("r")), "left_semi")
     # Only classes that have candidates are shingled again.
-    full = texts.select("t").where(F.trim("t") != "").mapInPandas(_with_shingles, "node binary, shingles binary")
+    again = wanted.select(F.col("rep").alias("r"), F.xxhash64("rep").alias("h")).distinct()
+    texts = maybe_members(rows.select("id", "t", F.xxhash64("id").alias("h")), again, "h", bits=bits).select("id", "t")
+    texts = texts.join(again.select("r").hint("merge"), F.col("id").eqNullSafe(F.col("r")), "left_semi")
+    full = texts.select("t").where(F.trim("t") != "").mapInArrow(_with_shingles, "node binary, shingles binary")
     full = full.join(wanted.select("node", "weight", "keys"), "node")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     spread = members.withColumn("block", mine).select("node", "tree", "key", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     spread = spread.select("node", "tree", "key", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
     groups = full.join(spread, "node").repartition("tree", "key", "left", "right").sortWithinPartitions("tree", "key", "left", "right")
     found = cut(groups.mapInPandas(verify(threshold), "a binary, b binary, links bigint"))
+    release(members, wanted)
     roots = components(found.select("a", "b"))
     links = found.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "node")
     per_class = classes.select("node", "rep", "weight").join(roots, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -243,17 +258,25 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
         F.coalesce(F.hex("root"), F.concat_ws("/", "id", "k1", "k2")).alias("group"))
 
 
-def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **how: float) -> DataFrame:
-    """The rows of ``df``, all columns, that stay: of each class the one with the smallest id.
+def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = BITS, **how: float) -> DataFrame:
+    """The rows of ``df``, all columns, that stay: of each class the one with the smallest id, ties to the smaller hash.
 
-    Rows that are equal in id and text cannot be told apart by their verdict, so only those are made distinct.
+    Rows that are equal in id and text cannot be told apart by their verdict, so only those are made distinct. Rows
+    whose class has no other row, nearly all in most corpora, pass where they lie: only the others meet their verdict
+    by a join.
     """
-    found = near_duplicates(df, doc_id, text, **how)
-    same = found.groupBy("group", "id", "k1", "k2").agg(F.count(F.lit(1)).alias("times"))
-    stay = cut(same.groupBy("group").agg(F.min(F.struct("id", "k1", "k2", "times")).alias("s")).select(
-        F.col("s.id").alias("s_id"), F.col("s.k1").alias("s1"), F.col("s.k2").alias("s2"), "s.times"))
+    found = near_duplicates(df, doc_id, text, bits=bits, **how)
+    same = cut(found.groupBy("group", "id", "k1", "k2").agg(F.count(F.lit(1)).alias("times")))
+    classes = same.groupBy("group").agg(F.sum("times").alias("rows"), F.min(F.struct("id", "k1", "k2")).alias("first")).where("rows > 1")
+    here = F.struct("id", "k1", "k2")
+    verdicts = cut(same.join(classes, "group").select(F.col("id").alias("v_id"), F.col("k1").alias("v1"), F.col("k2").alias("v2"), "times",
+                                                      here.eqNullSafe(F.col("first")).alias("stays"), F.xxhash64("id", "k1", "k2").alias("h")))
+    release(same)
     t = F.col(f"`{text}`").cast("string")
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{doc_id}`").alias("id"), *text_key(t))
-    rows = rows.join(stay, F.col("id").eqNullSafe(F.col("s_id")) & (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2")))
-    kept = rows.where("times = 1").select("row").union(rows.where("times > 1").dropDuplicates(["id", "k1", "k2"]).select("row"))
+    doubtful, alone = split_members(rows.withColumn("h", F.xxhash64("id", "k1", "k2")), verdicts, "h", bits=bits)
+    judged = doubtful.drop("h").join(verdicts.drop("h"), F.col("id").eqNullSafe(F.col("v_id")) & (F.col("k1") == F.col("v1")) & (F.col("k2") == F.col("v2")), "left")
+    judged = judged.where(F.coalesce("stays", F.lit(True)))
+    once = judged.where(F.coalesce("times", F.lit(1)) == 1).select("row")
+    kept = alone.select("row").union(once).union(judged.where("times > 1").dropDuplicates(["id", "k1", "k2"]).select("row"))
     return kept.select(*[F.col("row")[c].alias(c) for c in df.columns])
