@@ -51,10 +51,16 @@ def widen_lists(df: DataFrame, ids: Sequence[str], names_from: str, values_from:
 
 
 def repeat_rows(df: DataFrame, times: str = "n") -> DataFrame:
-    """Each row ``times`` over. Exploded in two bounded steps, shuffled in between, so that
-    no long array is built and a large multiplicity is written by many tasks."""
+    """Each row ``times`` over.
+
+    Rows of up to a chunk are repeated where they lie, without a shuffle. Larger multiplicities are cut into
+    chunks that are spread over tasks first, so that no long array is built and no task writes them alone.
+    """
     rest = [f"`{c}`" for c in df.columns if c != times]
-    chunks = df.withColumn("__from", F.explode(F.sequence(F.lit(0), F.floor((F.col(times) - 1) / _CHUNK))))
+    few = df.filter(F.col(times).between(1, _CHUNK)).withColumn("__i", F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))))
+    many = df.filter(F.col(times) > _CHUNK)
+    chunks = many.withColumn("__from", F.explode(F.sequence(F.lit(0), F.floor((F.col(times) - 1) / _CHUNK))))
     chunks = chunks.repartition(F.xxhash64(*rest), F.col("__from"))
     size = F.least(F.col(times) - F.col("__from") * _CHUNK, F.lit(_CHUNK))
-    return (chunks.withColumn("__i", F.explode(F.sequence(F.lit(1), size.cast("int")))).select(*rest))
+    spread = chunks.withColumn("__i", F.explode(F.sequence(F.lit(1), size.cast("int"))))
+    return few.select(*rest).union(spread.select(*rest))
