@@ -13,6 +13,9 @@ An empty table gives an empty result. All working columns live beside a struct,
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,35 +59,33 @@ def poured(nodes: DataFrame, parent: list[str], budget: str) -> DataFrame:
 def budgets(leaves: DataFrame, weights: DataFrame | None, budget: float, max_epochs: float) -> DataFrame:
     """Per leaf ``tokens`` and ``share`` (target tokens, whole numbers) for ``budget`` times all tokens.
 
-    ``weights`` has columns domain, lang, source and weight; a null lang (and source) names the node above the leaves.
+    ``weights`` has columns domain, lang, source and weight. A row names the node of its last value that is not null, so
+    a null lang and source name a domain; a node whose own name is null weighs 1. Only leaves that may be used, with
+    weights above 0 all the way up, count as room, so no budget goes where none can be spent.
     The table of leaves has one row per source and language, far fewer than documents.
     """
     n = leaves.agg(F.sum("tokens").alias("all_tokens"))
     nodes = leaves.join(F.broadcast(n)).withColumn("budget", F.col("all_tokens") * F.lit(float(budget)))
-    nodes = nodes.withColumn("leaf_room", F.col("tokens") * F.lit(float(max_epochs)))
+    for depth in range(1, len(LEVELS) + 1):
+        if weights is None:
+            nodes = nodes.withColumn(f"w{depth}", F.lit(1.0))
+            continue
+        given = weights.where(F.col(LEVELS[depth - 1]).isNotNull())
+        for name in LEVELS[depth:]:
+            given = given.where(F.col(name).isNull())
+        keys = LEVELS[:depth]
+        given = given.select(*[F.col(k).alias(f"g_{k}") for k in keys], F.col("weight").cast("double").alias("given"))
+        on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"g_{k}")) for k in keys])
+        nodes = nodes.join(given, on, "left").withColumn(f"w{depth}", F.coalesce("given", F.lit(1.0))).drop("given", *[f"g_{k}" for k in keys])
+    used = reduce(and_, [F.col(f"w{d}") > 0 for d in range(1, len(LEVELS) + 1)])
+    nodes = nodes.withColumn("leaf_room", F.when(used, F.col("tokens") * F.lit(float(max_epochs))).otherwise(F.lit(0.0)))
     for depth in range(1, len(LEVELS) + 1):
         keys, parent = LEVELS[:depth], LEVELS[:depth - 1]
-        level = nodes.groupBy(*keys).agg(F.sum("leaf_room").alias("room"), F.first("budget").alias("budget"))
+        level = nodes.groupBy(*keys).agg(F.sum("leaf_room").alias("room"), F.first("budget").alias("budget"), F.first(f"w{depth}").alias("weight"))
         for name in LEVELS[depth:]:
             level = level.withColumn(name, F.lit(None).cast("string"))
-        if weights is None:
-            level = level.withColumn("weight", F.lit(1.0))
-        else:
-            given = weights
-            for name in LEVELS[depth:]:
-                given = given.where(F.col(name).isNull())
-            if depth < len(LEVELS):
-                given = given.where(F.col(LEVELS[depth - 1]).isNotNull())
-            given = given.select(*[F.col(k).alias(f"w_{k}") for k in keys], F.col("weight").cast("double").alias("weight"))
-            on = F.lit(True)
-            for k in keys:
-                on = on & F.col(k).eqNullSafe(F.col(f"w_{k}"))
-            level = level.join(given, on, "left").drop(*[f"w_{k}" for k in keys])
-            level = level.withColumn("weight", F.coalesce("weight", F.lit(1.0)))
         level = poured(level, parent, "budget").select(*[F.col(k).alias(f"l_{k}") for k in keys], "share")
-        on = F.lit(True)
-        for k in keys:
-            on = on & F.col(k).eqNullSafe(F.col(f"l_{k}"))
+        on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"l_{k}")) for k in keys])
         nodes = nodes.join(level, on).drop("budget", *[f"l_{k}" for k in keys]).withColumnRenamed("share", "budget")
     return nodes.select(*LEVELS, "tokens", F.floor(F.col("budget") + 1e-6).cast("long").alias("share"))
 
@@ -98,7 +99,7 @@ def mixed(df: DataFrame, tree: list[Column], weights: DataFrame | None = None, b
     order, then the one slice that holds the cut), and rows are compared with it where they lie.
     """
     keys = [c.cast("string").alias(n) for c, n in zip(tree, LEVELS)]
-    light = cut(df.select(*keys, F.col(doc_id).alias("id"), tokens_of(text).alias("n_tokens")))
+    light = cut(df.select(*keys, F.col(f"`{doc_id}`").alias("id"), tokens_of(f"`{text}`").alias("n_tokens")))
     leaves = light.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
     shares = budgets(leaves.select(*LEVELS, "tokens"), weights, budget, max_epochs)
     shares = shares.select(*[F.col(k).alias(f"s_{k}") for k in LEVELS], "tokens", "share")
@@ -125,7 +126,7 @@ def mixed(df: DataFrame, tree: list[Column], weights: DataFrame | None = None, b
     last = last.select(*[F.col(k).alias(f"c_{k}") for k in LEVELS], "last")
     # Written, so that its size is known and Spark broadcasts it only below the session's threshold.
     final = cut(plan.join(last, same("c"), "left").select(*[F.col(k).alias(f"f_{k}") for k in LEVELS], "whole", "last"))
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *keys, F.col(doc_id).alias("id"), text_or_empty(text).alias("t"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *keys, F.col(f"`{doc_id}`").alias("id"), text_or_empty(f"`{text}`").alias("t"))
     rows = rows.join(final, same("f")).withColumn("epochs", F.col("whole") + F.coalesce(
         (place(seed, F.col("whole"), F.col("id")) <= F.col("last")).cast("int"), F.lit(0)))
     return rows.where(F.col("epochs") > 0).select("row", *LEVELS, "epochs", "id", "t")
