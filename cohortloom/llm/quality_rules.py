@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.llm.common import WHITE, cut, text_or_empty
+from cohortloom.llm.common import WHITE, cut, release, text_or_empty
+from cohortloom.operators.member_filter import split_members
 
 WINDOW = 8
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -104,13 +105,15 @@ def judged(df: DataFrame, host: str = "source", text: str = "text", max_rate: fl
 def keep_good(df: DataFrame, host: str = "source", text: str = "text", max_rate: float = 0.5) -> DataFrame:
     """The rows of ``df``, all columns, whose own figures and whose host pass.
 
-    A document's own verdict needs nothing but its row; only the rejected hosts are joined back.
+    A document's own verdict needs nothing but its row. Rows of hosts that a bit table of the rejected ones does not
+    know stay where they lie, however many a host has; only the others meet the list by a join.
     """
     measured = cut(measure(df.select(F.col(f"`{text}`").alias("t"), F.col(f"`{host}`").alias("host")), "t").select("host", "m"))
-    rejected = host_rates(measured, "host").where(F.col("rate") > max_rate).select("host")
-    names = df.columns
-    rows = measure(df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{text}`").alias("t"),
-                             F.col(f"`{host}`").alias("host")), "t").where(~base_failed())
-    rejected = rejected.withColumnRenamed("host", "bad_host")
-    rows = rows.join(rejected, F.col("host").eqNullSafe(F.col("bad_host")), "left_anti")
-    return rows.select(*[F.col("row")[c].alias(c) for c in names])
+    rejected = cut(host_rates(measured, "host").where(F.col("rate") > max_rate).select(F.col("host").alias("bad_host"), F.xxhash64("host").alias("h")))
+    release(measured)
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{text}`").alias("t"),
+                     F.col(f"`{host}`").alias("host"), F.xxhash64(F.col(f"`{host}`")).alias("h"))
+    doubtful, others = split_members(rows, rejected, "h", bits=16)
+    doubtful = measure(doubtful, "t").where(~base_failed()).join(rejected.select("bad_host"), F.col("host").eqNullSafe(F.col("bad_host")), "left_anti")
+    kept = measure(others, "t").where(~base_failed()).select("row").union(doubtful.select("row"))
+    return kept.select(*[F.col("row")[c].alias(c) for c in df.columns])
