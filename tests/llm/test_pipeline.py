@@ -14,6 +14,7 @@ from test_mixing import filler
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from cohortloom.llm import quality_rules
 from cohortloom.llm.sql import ORACLE
 
 TINY = "/root/testdata/sf0.001"
@@ -89,3 +90,14 @@ def test_an_odd_table_passes_all_stages(spark):
     left = {r["doc_id"] for r in docs.collect()}
     # Texts whose only lines recur in other documents go, and so do empty ones and those that repeat their own words.
     assert not left & {1, 2, 3, 4, 5, 6, 7} and len(left & set(range(10, 18))) >= 6
+
+
+def test_documents_of_a_rejected_host_go(spark):
+    """Good documents of a bad host and of a null host that is bad go with it; all others pass by their own figures."""
+    good = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    rows = [(i, good(i) if i % 8 == 0 else "short", "bad" if i < 40 else None) for i in range(80)]
+    rows += [(100 + i, good(i) if i % 10 else "short", f"h{i % 7}") for i in range(70)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, source string").repartition(3)
+    judged = quality_rules.judged(docs).where("kept").select("row.doc_id").collect()
+    kept = {r["doc_id"] for r in quality_rules.keep_good(docs).collect()}
+    assert kept == {r["doc_id"] for r in judged} == {100 + i for i in range(70) if i % 10}
