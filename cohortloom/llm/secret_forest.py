@@ -116,7 +116,7 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str =
     ``sample`` of each label, the first by a hash; of equal hashes those with smaller features.
     """
     words = cut(dictionary(df, text, least_documents))
-    found = cut(with_features(candidates(df, doc_id, text, path), words))
+    found = cut(with_features(cut(candidates(df, doc_id, text, path)), words))
     if labelled is None:
         labelled = cut(labelled_findings(cut(planted(df.sparkSession)), words))
     known = labelled.where(F.col("label").isNotNull())
