@@ -2,13 +2,16 @@
 
 A page is a sequence of words and tags. Words score positive, by how often words in their surroundings are content;
 tags score negative, by how often they stand outside of it. Both weights are counted on labelled pages: pages that mark
-their content themselves with an article or main element that is not named as a comment or advert; on those pages the
-mark decides, not the weights. One linear scan finds the stretch with the highest sum. Inside
-it, elements that never are main text (menus, forms, scripts, comments and so on, by name, role or class) are left out.
+their content themselves with an article or main element that is read (not dropped, not in a comment or script) and not
+named as a comment or advert. The marks only label pages for learning: one linear scan finds the stretch with the highest
+sum on every page alike. Inside it, elements that never are main text (menus, forms, scripts, comments and so on, by
+name, role or class) are left out.
 
 Defined results: null and empty pages, and pages without words, give an empty text. Cut-off pages and unclosed tags are
-read as far as they go; an element left out ends where HTML ends it, also without its closing tag. Repeated rows give repeated results; ids and urls are passed on as they are, null too. Without
-any labelled page all words count alike and tags cost nothing. An empty table gives an empty result.
+read as far as they go; an element left out ends where HTML ends it, also without its closing tag. Repeated rows give
+repeated results; ids and urls are passed on as they are, null too. Of stretches with equal sums the last wins. Pages of
+any length are read whole, once from front to back; further columns, whatever their names, are not read. Without any
+labelled page all words count alike and most tags cost next to nothing. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ toolbar skip pagination pager copyright legal disclaimer contentinfo complementa
 TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)""", re.S)
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
-#: What an element costs that a mark is only a part of the name of: about eight words.
+#: What it costs to cross the border of an article, or to enter an element that a mark is only a part of the name of: about eight words.
 HINT_COST = -8.0
 SPLIT = re.compile(r"[^a-z]+")
 
@@ -109,14 +112,12 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
 class Reader:
     """The page as units: ("tag", key) and ("text", key, text, block), outside of dropped elements.
 
-    A key is (area, tag): the area says whether the page marks its content and whether this is inside of it; the tag is
-    the nearest block's, or ``a`` in links.
+    A key is (inside, tag): whether it is inside of content that the page marks (for learning); the tag is the nearest
+    block's, or ``a`` in links.
     """
 
     def __init__(self, page: str) -> None:
         self.units: list[tuple] = []
-        marks = any(not (hinted(m[2]) or marked(m[2])) for m in re.finditer(r"<(article|main)\b([^>]*)", page, re.I))
-        outside = "out" if marks else "none"
         stack: list[str] = []  # open blocks
         link, block = 0, 0
         holds: list[bool] = []  # open article and main elements: whether they mark content
@@ -138,7 +139,7 @@ class Reader:
                 if inner:
                     continue
             content = any(holds)
-            area = "in" if content else outside
+            area = content
             if kind == "text":
                 self.units.append(("text", (area, "a" if link else stack[-1] if stack else ""), text, block))
                 continue
@@ -180,11 +181,11 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for page in batch.column("html").to_pylist():
             units = Reader(page or "").units
-            if not any(u[1][0] == "in" for u in units):
+            if not any(u[1][0] for u in units):
                 continue
             for u in units:
-                area, tag = u[1]
-                count[(u[0], tag, area == "in")] += len(u[2].split()) if u[0] == "text" else 1
+                inside, tag = u[1]
+                count[(u[0], tag, inside)] += len(u[2].split()) if u[0] == "text" else 1
     keys = list(count)
     yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()),
                                       pa.array([k[2] for k in keys], pa.bool_()), pa.array([count[k] for k in keys], pa.int64())],
@@ -205,16 +206,15 @@ def learned(pages: DataFrame, sample: int) -> dict[tuple[str, str], float]:
 def main_text(page: str | None, share: dict[tuple[str, str], float]) -> str:
     """Blocks of the maximum-scoring stretch, joined by line feeds."""
     units = Reader(page or "").units
-    # Where the page marks its content, the mark decides; elsewhere the learned share of the tag does.
-    def of(kind: str, key: tuple[str, str], unknown: float) -> float:
-        return 1.0 if key[0] == "in" else 0.0 if key[0] == "out" else share.get((kind, key[1]), unknown)
-
     best, total, begin, found = 0.0, 0.0, 0, (0, 0)
     for at, u in enumerate(units):
+        tag = u[1][1]
         if u[0] == "text":
-            value = len(u[2].split()) * (0.01 + of("text", u[1], 1.0))
+            value = len(u[2].split()) * (0.01 + share.get(("text", tag), 1.0))
+        elif tag in ("hinted", "article", "main"):
+            value = HINT_COST
         else:
-            value = HINT_COST if u[1][1] == "hinted" else -0.001 - 3.0 * (1 - of("tag", u[1], 1.0)) if u[1][1] != "dropped" else -0.5 if u[1][0] == "none" else -0.001
+            value = -0.001 - 3.0 * (1 - share.get(("tag", tag), 5 / 6 if tag == "dropped" else 1.0))
         if total <= 0:
             total, begin = 0.0, at
         total += value
@@ -222,7 +222,7 @@ def main_text(page: str | None, share: dict[tuple[str, str], float]) -> str:
             best, found = total, (begin, at + 1)
     blocks: dict[int, list[str]] = {}
     for u in units[found[0] : found[1]]:
-        if u[0] == "text" and not (u[1][0] == "out"):
+        if u[0] == "text":
             blocks.setdefault(u[3], []).append(u[2])
     texts = (" ".join(entities.unescape("".join(parts)).split()) for parts in blocks.values())
     return "\n".join(t for t in texts if t)
