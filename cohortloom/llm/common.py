@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,9 @@ from cohortloom.session import scratch_path
 WHITE = r"[\x20\x09-\x0D]+"
 #: Size of the bit tables that keep rows out of joins: 2 MB.
 BITS = 24
+#: Most rows and about the most bytes that go to a Python worker at once. Executor and worker hold a batch outside the
+#: heap, and so does what the worker makes of it; a text longer than that is a batch of its own.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
@@ -20,6 +26,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that start in here hand :data:`BATCHES` to Python workers; the session's own settings are put back."""
+    before = {key: spark.conf.get(key) for key in BATCHES}
+    try:
+        for key, value in BATCHES.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def returned(batches: Iterator) -> Iterator:
+    """``batches``, and then what the worker holds of freed Arrow memory goes back: workers are kept for later tasks."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written as a table below the shared folder and read back: computed once, safe from lost executors."""
     path = scratch_path(df.sparkSession, "cut")

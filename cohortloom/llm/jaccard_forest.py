@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.llm.common import BITS, cut, release, text_key
+from cohortloom.llm.common import BITS, cut, release, returned, small_batches, text_key
 from cohortloom.llm.words import blocks, hash_shingles, hash_words, split_words
 from cohortloom.operators.member_filter import maybe_members, split_members
 
@@ -74,7 +74,7 @@ def signed(trees: int, depth: int):
     mix = np.random.default_rng(12).integers(1, 2**31, (trees * depth, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in returned(batches):
             digests, keys = [], []
             for s in shingled(batch.column("t")):
                 if not len(s):
@@ -150,7 +150,7 @@ def verify(threshold: float):
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, rows = None, []
-        for frame in frames:
+        for frame in returned(frames):
             out: list[tuple] = []
             for node, raw, keys, block, left, right, tree, weight, key in zip(
                     *[frame[c] for c in ("node", "shingles", "keys", "block", "left", "right", "tree", "weight", "key")]):
@@ -172,7 +172,7 @@ def _links(found: list[tuple]) -> pd.DataFrame:
 
 
 def _with_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in returned(batches):
         sets = [s.tobytes() for s in shingled(batch.column("t"))]
         yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["node", "shingles"])
 
@@ -222,7 +222,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     kind = dict(rows.dtypes)["id"]
     sets = rows.withColumn("t", F.coalesce("t", F.lit(""))).mapInArrow(
         signed(trees, depth), f"id {kind}, k1 bigint, k2 bigint, node binary, keys array<bigint>")
-    sets = cut(sets if only is None else sets.join(only.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi"))
+    with small_batches(df.sparkSession):
+        sets = cut(sets if only is None else sets.join(only.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi"))
     classes = sets.where(F.col("node").isNotNull()).groupBy("node").agg(
         F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("keys").alias("keys"))
     classes = cut(classes)
@@ -246,7 +247,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     spread = members.withColumn("block", mine).select("node", "tree", "key", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     spread = spread.select("node", "tree", "key", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
     groups = full.join(spread, "node").repartition("tree", "key", "left", "right").sortWithinPartitions("tree", "key", "left", "right")
-    found = cut(groups.mapInPandas(verify(threshold), "a binary, b binary, links bigint"))
+    with small_batches(df.sparkSession):
+        found = cut(groups.mapInPandas(verify(threshold), "a binary, b binary, links bigint"))
     release(members, wanted)
     roots = components(found.select("a", "b"))
     links = found.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "node")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortloom.llm.common import cut
+from cohortloom.llm.common import cut, returned, small_batches
 
 END = 1
 #: Signs that are one unit when they stand together.
@@ -124,7 +124,7 @@ def pieces(file: str, capacity: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(file)
-        for batch in batches:
+        for batch in returned(batches):
             for begin in range(0, len(batch), 250):
                 ids, texts = batch.column("id").slice(begin, 250), batch.column("t").slice(begin, 250).to_pylist()
                 rows: list[tuple] = []
@@ -295,7 +295,8 @@ def pack(df: DataFrame, file: str, capacity: int = 4096, doc_id: str = "doc_id",
     rows = df.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("t"))
     kind = dict(rows.dtypes)["id"]
     shape = f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
-    made = cut(rows.mapInArrow(pieces(file, capacity), shape))
+    with small_batches(df.sparkSession):
+        made = cut(rows.mapInArrow(pieces(file, capacity), shape))
     histogram = made.groupBy("length").count().collect()
     counts = np.zeros(capacity + 1, np.int64)
     for r in histogram:

@@ -25,10 +25,12 @@ def tree() -> list[Column]:
 
 
 def tree_weights(spark: SparkSession) -> DataFrame:
-    """Weights of the tree's nodes; a node that is not listed weighs 1."""
+    """Weights of the tree's nodes; a node that is not listed weighs 1. Literals: no Python worker is started for them."""
     rows = [(f"domain{k}", None, None, w) for k, w in enumerate((4.0, 3.0, 2.0, 1.0))]
     rows += [(f"domain{k}", lang, None, w) for k in range(4) for lang, w in (("en", 5.0), ("de", 2.0), ("fr", 2.0), ("es", 1.0))]
-    return spark.createDataFrame(rows, "domain string, lang string, source string, weight double")
+    node = [F.struct(*[F.lit(v).cast(kind).alias(c) for c, kind, v in zip(
+        ("domain", "lang", "source", "weight"), ("string", "string", "string", "double"), row)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*node)))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
