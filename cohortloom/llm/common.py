@@ -19,6 +19,11 @@ BITS = 24
 #: Most rows and about the most bytes that go to a Python worker at once. Executor and worker hold a batch outside the
 #: heap, and so does what the worker makes of it; a text longer than that is a batch of its own.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+#: Without Hadoop's native library, its file system for ``file://`` starts a process for each mode that it sets: of a
+#: task's folder, of its file and of the file's checksums. The plain one below it writes no checksums beside the file;
+#: those inside, page by page, are looked at instead. Other stores ignore the first two settings.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+VERIFIED = {"parquet.page.verify-checksum.enabled": "true"}
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
@@ -48,8 +53,8 @@ def returned(batches: Iterator) -> Iterator:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written as a table below the shared folder and read back: computed once, safe from lost executors."""
     path = scratch_path(df.sparkSession, "cut")
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.options(**PLAIN_FILES).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).options(**VERIFIED).parquet(path)
     _PATHS[out] = path
     return out
 
@@ -58,7 +63,7 @@ def release(*tables: DataFrame) -> None:
     """Empty tables that ``cut`` wrote and that nothing reads any more, so that their space is free again."""
     for table_ in tables:
         if path := _PATHS.pop(table_, None):
-            table_.sparkSession.range(0).write.mode("overwrite").parquet(path)
+            table_.sparkSession.range(0).write.mode("overwrite").options(**PLAIN_FILES).parquet(path)
 
 
 def text_or_empty(column: str) -> Column:
