@@ -14,84 +14,107 @@ Repeated rows are packed as often as they occur. An empty table gives an empty r
 from __future__ import annotations
 
 import os
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortloom.llm.common import cut, returned, small_batches
 
 END = 1
+#: Kinds of bytes. A stretch ends before a byte of a larger kind, except that only white space ends one after ``_OTHER``.
+_OTHER, _LETTER, _SIGN, _SPACE, _LEAD, _MARK = range(6)
+_KIND = np.zeros(256, np.uint8)
+_KIND[65:91] = _KIND[97:123] = _LETTER
 #: Signs that are one unit when they stand together.
-_SIGNS = "!#$%&*+,-./:;=?@^_~|()[]{}"
-#: Letters whose lower case is one letter in every library.
-_LATIN = re.compile("[\x00-\x7f\xa0-\u012f\u0131-\u017f]*").fullmatch
+_KIND[list(b"!#$%&*+,-./:;=?@^_~|()[]{}")] = _SIGN
+_KIND[9:14] = _KIND[32] = _SPACE
+#: First bytes of U+00C0 to U+017F, letters but for a few, and of U+0300 to U+037F, marks that join an ASCII letter.
+_KIND[0xC3:0xC6], _KIND[0xCC:0xCE] = _LEAD, _MARK
+#: The signs for times and divided by; the capital I with a dot, whose lower case ends in a mark.
+_NOT_LETTERS = [0xC397, 0xC3B7, 0xC4B0]
+#: Bytes in lower case, with one kind of white space.
+_PLAIN = np.arange(256, dtype=np.uint8)
+_PLAIN[65:91] += 32
+_PLAIN[9:14] = 32
 
 
 class Encoder:
-    """Token ids of whole texts, each distinct stretch between spaces encoded once and then looked up.
+    """Token ids of whole texts, each distinct stretch of a batch looked up once and encoded if it is new.
 
     The vocabulary's tokenizer drops white space and never looks across it, so a text's ids are those of its stretches
-    in order; full stops and commas are tokens of their own beside letters. Both are checked in the tests.
+    in order; full stops and commas are tokens of their own beside letters. Both are checked in the tests. Texts stay in
+    Arrow's flat arrays: only stretches that are not known become Python strings.
     """
 
-    def __init__(self, file: str, room: int = 300_000) -> None:
+    def __init__(self, file: str, room: int = 450_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.room = Tokenizer.from_file(file), room
+        vocabulary = self.tokenizer.get_vocab()
+        self.ending = np.zeros(max(vocabulary.values()) + 1, bool)  # the last token of a unit
+        self.ending[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        # Flat arrays, which numpy reads in place.
-        self.starts, self.sizes, self.flat = array("q"), array("q"), array("I")
-
-    def _learn(self, new: list[str]) -> None:
-        """Words of letters alone are one unit each, so many of them are encoded as one text."""
-        words = [w for w in new if w.isalpha()]
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids, of = got.ids, got.word_ids
-            if of and of[-1] == len(part) - 1:
-                cuts = np.searchsorted(np.array(of), np.arange(len(part) + 1)).tolist()
-                for w, a, b in zip(part, cuts, cuts[1:]):
-                    self._add(w, ids[a:b])
-            else:  # letters that normalise to several units
-                for w in part:
-                    self._add(w, self.tokenizer.encode(w, add_special_tokens=False).ids)
-        for w in new:
-            if not w.isalpha():
-                self._add(w, self.tokenizer.encode(w, add_special_tokens=False).ids)
-
-    def _add(self, word: str, ids: list[int]) -> None:
-        self.index[word] = len(self.starts)
-        self.starts.append(len(self.flat))
-        self.sizes.append(len(ids))
-        self.flat.extend(ids)
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """Ids of each text, little-endian unsigned 32-bit."""
-        if len(self.index) > self.room:
+        self.known = pa.array([], pa.string())
+        # The ids of known stretch i are flat[bounds[i] : bounds[i + 1]].
+        self.bounds, self.flat = np.zeros(1, np.int64), np.empty(0, "<u4")
+
+    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and how many each has."""
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        sizes = np.array([len(ids) for ids in got], np.int64)
+        return np.fromiter(chain.from_iterable(got), "<u4", int(sizes.sum())), sizes
+
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of letters alone: one unit each, so many of them are encoded as one text."""
+        ids, _ = self._each([" ".join(words)])
+        ends = np.flatnonzero(self.ending[ids]) + 1
+        if len(ends) == len(words) and ends[-1] == len(ids):
+            return ids, np.diff(ends, prepend=0)
+        return self._each(words)  # letters that normalise to several units
+
+    def _learn(self, new: pa.StringArray) -> np.ndarray:
+        """Encode ``new`` and return its places among the known stretches."""
+        words = [w.lstrip(" ") for w in new.to_numpy(zero_copy_only=False)]
+        letters = np.fromiter((w.lower().isalpha() for w in words), bool, len(words))
+        order = np.argsort(~letters, kind="stable")
+        found = []
+        for encode, mine, step in ((self._letters, order[: letters.sum()], 20_000), (self._each, order[letters.sum() :], 1000)):
+            for at in range(0, len(mine), step):
+                found.append(encode([words[i] for i in mine[at : at + step].tolist()]))
+        places = np.empty(len(words), np.int64)
+        places[order] = len(self.known) + np.arange(len(words))
+        self.known = pa.concat_arrays([self.known, new.take(pa.array(order))])
+        self.bounds = np.append(self.bounds, len(self.flat) + np.concatenate([n for _, n in found]).cumsum())
+        self.flat = np.concatenate([self.flat, *[ids for ids, _ in found]])
+        return places
+
+    def encode(self, texts: pa.Array | list[str]) -> Iterator[np.ndarray]:
+        """Ids of each text, little-endian unsigned 32-bit; a null is an empty text."""
+        if len(self.known) > self.room or self.known.nbytes > 64 * self.room:
             self.clear()
-        split = [_stretches(t) for t in texts]
-        index = self.index
-        self._learn([w for w in dict.fromkeys(w for words in split for w in words) if w not in index])
-        starts, sizes = np.frombuffer(self.starts, np.int64), np.frombuffer(self.sizes, np.int64)
-        flat = np.frombuffer(self.flat, np.uint32).astype("<u4", copy=False)
-        for words in split:
-            at = np.array([index[w] for w in words], np.int64)
-            n = sizes[at]
+        stretches, cuts = _stretches((texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).cast(pa.string()).fill_null(""))
+        coded = stretches.dictionary_encode()
+        place = pc.index_in(coded.dictionary, value_set=self.known)
+        places = place.fill_null(-1).to_numpy().astype(np.int64)
+        if place.null_count:
+            places[places < 0] = self._learn(coded.dictionary.filter(place.is_null()))
+        flat, at = self.flat, places[coded.indices.to_numpy()]
+        starts, sizes = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
+        for a, b in pairwise(cuts.tolist()):
+            n = sizes[a:b]
             ends = n.cumsum()
-            total = int(ends[-1]) if len(ends) else 0
-            yield flat[np.repeat(starts[at] - ends + n, n) + np.arange(total)] if total else np.empty(0, "<u4")
+            total = int(ends[-1]) if b > a else 0
+            yield flat[np.repeat(starts[a:b] - ends + n, n) + np.arange(total)] if total else np.empty(0, "<u4")
 
 
 @lru_cache(maxsize=1)
@@ -100,23 +123,33 @@ def encoder_of(file: str) -> Encoder:
     return Encoder(file)
 
 
-def _stretches(text: str) -> list[str]:
-    """Stretches between spaces and line feeds; the signs after a word of letters alone are a stretch of their own."""
-    if "<|" not in text and _LATIN(text):  # lower case early, for fewer distinct stretches
-        text = text.lower()
-    words: list[str] = []
-    add = words.append
-    for w in text.replace("\n", " ").split(" "):
-        if w[-1:] in _SIGNS:
-            core = w.rstrip(_SIGNS)
-            if core.isalpha():
-                add(core)
-                add(w[len(core) :])
-            elif w:
-                add(w)
-        else:
-            add(w)
-    return words
+def _stretches(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+    """Stretches of all texts in order, each with the white space before it, and where each text's begin and the last's end.
+
+    Signs after a letter begin a stretch of their own. ASCII letters are in lower case, for fewer distinct stretches.
+    """
+    if not len(texts):
+        return texts, np.zeros(1, np.int64)
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    data, kind = _PLAIN[raw], _KIND[raw]
+    lead = np.flatnonzero(kind == _LEAD)
+    kind[lead] = kind[lead + 1] = np.where(np.isin(raw[lead].astype(np.int64) << 8 | raw[lead + 1], _NOT_LETTERS), _OTHER, _LETTER)
+    marks = np.flatnonzero(kind == _MARK)
+    kind[marks] = _OTHER
+    edge = np.ones(len(raw) + 1, bool)
+    edge[1:-1] = (kind[1:] > kind[:-1]) & ((kind[:-1] != _OTHER) | (kind[1:] == _SPACE))
+    # A capital may join a mark where the small letter does not, and the vocabulary's special tokens have signs and one
+    # case: texts with either are only cut at white space and keep their case.
+    special = np.flatnonzero((raw[:-1] == ord("<")) & (raw[1:] == ord("|")))
+    for i in np.unique(np.searchsorted(offsets, np.append(marks, special), "right") - 1).tolist():
+        a, b = offsets[i], offsets[i + 1]
+        data[a:b] = raw[a:b]
+        edge[a:b] &= kind[a:b] == _SPACE
+    edge[offsets] = True
+    at = np.flatnonzero(edge).astype(np.int32)
+    return pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(data)), np.searchsorted(at, offsets)
 
 
 def pieces(file: str, capacity: int):
@@ -125,18 +158,16 @@ def pieces(file: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(file)
         for batch in returned(batches):
-            for begin in range(0, len(batch), 250):
-                ids, texts = batch.column("id").slice(begin, 250), batch.column("t").slice(begin, 250).to_pylist()
-                rows: list[tuple] = []
-                for at, tokens in enumerate(encoder.encode([t or "" for t in texts])):
-                    tokens = np.append(tokens, np.array([END], "<u4"))
-                    for k, start in enumerate(range(0, len(tokens), capacity)):
-                        part = tokens[start : start + capacity]
-                        rows.append((at, k, start, len(part), zlib.crc32(part.tobytes())))
-                at, k, start, length, crc = (list(x) for x in zip(*rows)) if rows else ([], [], [], [], [])
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(at, pa.int64())), pa.array(k, pa.int32()), pa.array(start, pa.int64()),
-                     pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["id", "piece", "start", "length", "ids_crc32"])
+            ids, rows = batch.column("id"), []
+            for at, tokens in enumerate(encoder.encode(batch.column("t"))):
+                tokens = np.append(tokens, np.array([END], "<u4"))
+                for k, start in enumerate(range(0, len(tokens), capacity)):
+                    part = tokens[start : start + capacity]
+                    rows.append((at, k, start, len(part), zlib.crc32(part.tobytes())))
+            at, k, start, length, crc = (list(x) for x in zip(*rows)) if rows else ([], [], [], [], [])
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(at, pa.int64())), pa.array(k, pa.int32()), pa.array(start, pa.int64()),
+                 pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["id", "piece", "start", "length", "ids_crc32"])
 
     return run
 
